@@ -40,6 +40,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length="n_chars")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    return score(_table(spark, sf_dir, "documents"), fold != 2, fold == 5)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, listed, scan
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
