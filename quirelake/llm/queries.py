@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def fold_of(key: str, folds: int) -> Column:
+    """crc32 of the key as text, modulo ``folds``; a null key is the empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % folds
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding as S
 
@@ -43,7 +48,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
-    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    fold = fold_of("doc_id", 7)
     return score(_table(spark, sf_dir, "documents"), fold != 2, fold == 5)
 
 
@@ -54,6 +59,14 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, scored
+
+    docs = _table(spark, sf_dir, "documents")
+    network = fit(docs, _table(spark, sf_dir, "labels"), fold_of("doc_id", 4) != 2)
+    return scored(docs, network).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, listed, scan
 
@@ -74,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op7_near_duplicates": op7_near_duplicates,
+    "op5_toxicity": op5_toxicity,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
