@@ -74,6 +74,12 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.filter(F.col("vec_id") % 100 == 0), vectors, 10)
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, listed, scan
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_duplicates": op7_near_duplicates,
     "op5_toxicity": op5_toxicity,
     "op6_top_k": op6_top_k,
+    "op8_extraction": op8_extraction,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
