@@ -274,4 +274,4 @@ def keep_clean(docs: DataFrame, items: DataFrame, *, width: int = 10) -> DataFra
     """The rows of ``docs`` without any hit, unchanged."""
     found = decontaminate(docs, items, width=width).filter("n_hit > 0").select("doc_id", "text_key").distinct()
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("f.text_key"))
-    return docs.alias("d").join(found.alias("f"), same, "left_anti")
+    return docs.alias("d").join(found.alias("f").hint("shuffle_hash"), same, "left_anti")

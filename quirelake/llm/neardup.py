@@ -210,4 +210,4 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", share:
     """The rows of ``docs`` that represent their group (smallest key), unchanged."""
     found = near_duplicates(docs, key=key, text=text, share=share).filter("doc_id != component_id").select("doc_id", "node").distinct()
     node = F.unhex(F.md5(F.coalesce(F.col(f"d.{text}").cast("string"), F.lit(""))))
-    return docs.alias("d").join(found.alias("f"), (F.col(f"d.{key}") == F.col("f.doc_id")) & (node == F.col("f.node")), "left_anti")
+    return docs.alias("d").join(found.alias("f").hint("shuffle_hash"), (F.col(f"d.{key}") == F.col("f.doc_id")) & (node == F.col("f.node")), "left_anti")

@@ -353,3 +353,10 @@ def scored(docs: DataFrame, network: Network | None, *, key: str = "doc_id", tex
 
     body = F.col(text).cast("string")
     return docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key")).mapInArrow(apply, "doc_id long, text_key long, score double")
+
+
+def keep_clean(docs: DataFrame, network: Network | None, *, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, unchanged."""
+    found = scored(docs, network, key=key, text=text).filter(F.col("score") >= threshold).select("doc_id", "text_key").distinct()
+    same = F.col(f"d.{key}").eqNullSafe(F.col("f.doc_id")) & F.xxhash64(F.col(f"d.{text}").cast("string")).eqNullSafe(F.col("f.text_key"))
+    return docs.alias("d").join(found.alias("f").hint("shuffle_hash"), same, "left_anti")
