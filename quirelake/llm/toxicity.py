@@ -109,8 +109,11 @@ class Network:
         x = np.concatenate([self.p["word"][row] * (row > 0)[:, None], chars], axis=1)
         return x, (row, ids, counts)
 
-    def projected(self, words: list[bytes]) -> np.ndarray:
-        return self.inputs(words)[0] @ self.p["in"] + self.p["in_b"]
+    def projected(self, words: list[bytes], part: int = 10_000) -> np.ndarray:
+        out = np.empty((len(words), 6 * self.hidden), np.float32)
+        for at in range(0, len(words), part):  # n-gram vectors of a part at a time
+            out[at : at + part] = self.inputs(words[at : at + part])[0] @ self.p["in"] + self.p["in_b"]
+        return out
 
     # Windows: indices (windows x steps) into projected words, -1 for padding.
 
@@ -245,16 +248,28 @@ def score_texts(network: Network, encoder: Encoder, texts: list[list[bytes]], ba
     return scores.astype(np.float64), first
 
 
-def evidence(found: np.ndarray, size: int, toxic: np.ndarray, owner: np.ndarray, least: float) -> np.ndarray:
-    """z-scores of log odds: in how many toxic and clean documents each of ``size`` features is found."""
-    pairs = np.unique(owner * np.int64(size) + found)
-    feature, label = pairs % size, toxic[pairs // size]
-    a, b = np.bincount(feature[label], minlength=size) + 0.5, np.bincount(feature[~label], minlength=size) + 0.5
+def evidence(parts: Iterator[tuple[np.ndarray, np.ndarray]], size: int, toxic: np.ndarray, least: float) -> np.ndarray:
+    """z-scores of log odds: in how many toxic and clean documents each of ``size`` features is found.
+
+    ``parts`` are (feature, document) arrays; a document is in one part only.
+    """
+    a, b = np.full(size, 0.5), np.full(size, 0.5)
+    for found, owner in parts:
+        pairs = np.unique(owner * np.int64(size) + found)
+        feature, label = pairs % size, toxic[pairs // size]
+        a += np.bincount(feature[label], minlength=size)
+        b += np.bincount(feature[~label], minlength=size)
     odds = np.log(a / (toxic.sum() + 1)) - np.log(b / ((~toxic).sum() + 1))
     z = odds / np.sqrt(1 / a + 1 / b)
     return np.sign(z) * np.maximum(np.abs(z) - least, 0)  # less than ``least`` standard errors says nothing
 
 
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
 def train(rows: list[tuple[bytes, int]], *, rounds: int = 5, batch: int = 256, rate: float = 0.01, most_words: int = 2000, most_windows: int = 10, least_steps: int = 20, seed: int = 5) -> Network | None:
     """Fit on (text, label) rows; None if they hold fewer than two classes.
 
@@ -264,25 +279,34 @@ def train(rows: list[tuple[bytes, int]], *, rounds: int = 5, batch: int = 256, r
     if len({label for _, label in rows}) < 2:
         return None
     rng = np.random.default_rng(seed)
-    texts = [words_of(t) for t, _ in rows]
     toxic = np.array([y for _, y in rows]) == 1
-    distinct = sorted(set().union(*texts))
-    if not distinct:
+    seen = _Numbers()
+    numbers = [np.fromiter(map(seen.__getitem__, words_of(t)), np.int32, -1) for t, _ in rows]
+    if not seen:
         return None
-    number = {w: i for i, w in enumerate(distinct)}
-    numbers = [np.array([number[w] for w in t], np.int64) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    weight_of = evidence(np.concatenate(numbers), len(distinct), toxic, owner, 2.0)
+    # Words in order of their bytes, so that the result does not hang on the order of rows.
+    distinct = sorted(seen)
+    place = np.empty(len(seen), np.int32)
+    place[[seen[w] for w in distinct]] = np.arange(len(distinct))
+    numbers = [place[n].astype(np.int64) for n in numbers]
+    seen.clear()
+
+    def words_by_document() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, own in enumerate(numbers):
+            yield np.unique(own), np.array([i])
+
+    def ngrams_by_document() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, own in enumerate(numbers):
+            if len(own):
+                yield ngrams_of([distinct[w] for w in np.unique(own).tolist()], buckets)[0], np.array([i])
+
+    buckets = Network.buckets
+    weight_of = evidence(words_by_document(), len(distinct), toxic, 2.0)
     best = np.argsort(-np.abs(weight_of), kind="stable")[:most_words]
     best = best[np.abs(weight_of[best]) > 0.5]
     network = Network({distinct[i]: k for k, i in enumerate(best.tolist(), 1)}).start(rng)
     network.p["word"][1:, 0] = 0.5 * weight_of[best]
-    ids, counts = ngrams_of(distinct, network.buckets)
-    firsts = np.cumsum(counts) - counts
-    of_word = np.unique(np.stack([owner, np.concatenate(numbers)]), axis=1)
-    n = counts[of_word[1]]
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    network.p["char"][:, 0] = 0.5 * evidence(ids[np.repeat(firsts[of_word[1]], n) + inside], network.buckets, toxic, np.repeat(of_word[0], n), 3.0)
+    network.p["char"][:, 0] = 0.5 * evidence(ngrams_by_document(), buckets, toxic, 3.0)
 
     index, owner = window_index(numbers)
     scores = np.where(index >= 0, np.append(weight_of, 0)[index], -9).max(axis=1)
@@ -333,7 +357,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, most
     return [(r["text"].encode("utf-8", "surrogatepass"), r["toxic"]) for r in rows]
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, *, most_toxic: int = 1200, most_clean: int = 1800, most_bytes: int = 20_000) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, *, most_toxic: int = 1200, most_clean: int = 1800, most_bytes: int = 16_000) -> Network | None:
     return train(labelled_sample(docs, labels, allowed, most_toxic=most_toxic, most_clean=most_clean, most_bytes=most_bytes))
 
 
