@@ -17,7 +17,7 @@ Defined cases: null and empty texts stay as they are; a repeated document loses
 what it shares with the one of smallest key, and a document that loses all its
 words is dropped; rows with the same key count as one document; rows with a null
 key are not compared and stay; lines are compared without blanks at their ends;
-words are counted by the blanks after them; other columns are returned as they
+words are counted by the blanks and line breaks after them; other columns are returned as they
 are; an empty table gives an empty result; a text of any length is one row.
 """
 
@@ -33,6 +33,8 @@ from .shared import Scratch
 #: A line ends after a line break, or after a sentence end and a blank.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
 BLANKS = " \t\n\r"
+#: Bytes from which a line is a chunk of its own.
+WIDE = 200
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,17 +49,18 @@ def _bare(line: Column) -> Column:
 def _cut(text: Column, modulus: int) -> Column:
     """struct(lines, hashes of lines, chunk starts from 0) of a text."""
 
-    def starts(h: Column) -> Column:
+    def starts(h: Column, wide: Column) -> Column:
         def cut(i: Column) -> Column:
-            after = F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(modulus)) == 0
-            before = F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i - 2), F.lit(7)), F.lit(modulus)) == 0
-            return (i == 0) | after | ((i > 1) & before)
+            after = F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(modulus)) != 0
+            before = F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i - 2), F.lit(7)), F.lit(modulus)) != 0
+            alone = F.get(wide, i) | F.get(wide, i - 1)
+            return (i == 0) | after | ((i > 1) & before) | alone
 
         return F.filter(F.sequence(F.lit(0), F.size(h) - 1), cut)
 
     def hashed(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda line: F.xxhash64(_bare(line)))
-        return _let(hashes, lambda h: F.struct(lines.alias("lines"), h.alias("h"), starts(h).alias("s")))
+        marks = F.struct(F.transform(lines, lambda line: F.xxhash64(_bare(line))).alias("h"), F.transform(lines, lambda line: F.octet_length(line) >= WIDE).alias("w"))
+        return _let(marks, lambda m: F.struct(lines.alias("lines"), m["h"].alias("h"), starts(m["h"], m["w"]).alias("s")))
 
     return _let(F.split(text, LINE_END, -1), hashed)
 
@@ -80,7 +83,7 @@ def chunk_marks(text: Column, modulus: int) -> Column:
 
     def part(lines: Column, h: Column, n: Column) -> Column:
         body = F.array_join(lines, "")
-        words = F.length(body) - F.length(F.translate(body, BLANKS, ""))
+        words = F.octet_length(body) - F.octet_length(F.replace(F.replace(body, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
         return F.struct(F.xxhash64(h).alias("h"), words.alias("w"))
 
     return _chunks(text, modulus, part)
@@ -113,7 +116,7 @@ def _total(run: Column, field: str) -> Column:
     return F.aggregate(run, F.lit(0).cast("long"), lambda a, m: a + m[field])
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", modulus: int = 2, min_words: int = 25, length: str | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", modulus: int = 4, min_words: int = 25, length: str | None = None) -> DataFrame:
     """``docs`` without the runs of chunks that a document of smaller key holds too.
 
     ``length`` names a column of ``docs`` to be set to the length of a changed text.
