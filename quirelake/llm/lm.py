@@ -185,7 +185,7 @@ def learn_weights(events: list[tuple[int, tuple[int, ...], int]], order: int, bu
     """EM over held-out events: (bucket, grid steps of the estimates or -1 for zero, count)."""
     weights = np.full((buckets, order + 1), 1.0 / (order + 1))
     if not events:
-        return weights
+        return _without_unseen(weights)
     bucket = np.array([e[0] for e in events])
     steps = np.array([e[1] for e in events], np.float64).reshape(len(events), order)
     counts = np.array([e[2] for e in events], np.float64)
@@ -195,6 +195,13 @@ def learn_weights(events: list[tuple[int, tuple[int, ...], int]], order: int, bu
         share *= (counts / share.sum(axis=1))[:, None]
         mass = np.column_stack([np.bincount(bucket, share[:, j], buckets) for j in range(order + 1)]) + 0.5
         weights = mass / mass.sum(axis=1, keepdims=True)
+    return _without_unseen(weights)
+
+
+def _without_unseen(weights: np.ndarray) -> np.ndarray:
+    """An unseen context has no estimate, so its weight goes to the others."""
+    weights[0, -1] = 0.0
+    weights[0] /= weights[0].sum()
     return weights
 
 
@@ -234,6 +241,8 @@ def score(docs: DataFrame, training: Column, deleted: Column, *, key: str = "doc
     grid = with_answers(blocks.filter(F.col("kind") == SLICE)).mapInArrow(events, "code long, n long").groupBy("code").agg(F.sum("n")).collect()
     split = [(code >> 10 * order, tuple((code >> 10 * (order - 1 - i) & 1023) - 1 for i in range(order)), n) for code, n in grid]
     weights = learn_weights(split, order, buckets, uniform)
+    if not corpus.tokens:
+        weights[:] = [1.0] + [0.0] * order
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
