@@ -84,7 +84,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, listed, scan
 
     found = scan(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, n=n: s["k"] == n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS[:3])]
+
+    def of_kind(n: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["k"] == n)).cast("long")
+
+    counts = [of_kind(n).alias(f"n_{kind}") for n, kind in enumerate(KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "random")).alias("spans"))
 
 

@@ -90,3 +90,14 @@ def test_scan_is_native(spark, make_docs):
     plan = scan(make_docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_query_counts_by_kind(spark, make_docs, tmp_path):
+    from quirelake.llm.queries import op9_secrets
+
+    make_docs(list(enumerate(TEXTS))).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in op9_secrets(spark, str(tmp_path)).collect():
+        t = TEXTS[r.doc_id] or ""
+        assert r.n_assign == sum(len(m[2]) >= 6 for m in ASSIGN.finditer(t))
+        assert r.n_access == sum(len(m[0]) >= 20 for m in re.finditer("AKIA[A-Z0-9]+", t))
+        assert r.n_hex == sum(len(m[0]) >= 24 for m in re.finditer("[0-9a-f]+", t))
