@@ -589,3 +589,54 @@ SELECT source, CAST(n AS INTEGER) AS page_no, doc_id FROM (SELECT source, doc_id
 def page_renumbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_no"), "doc_id")
+
+
+# Statutes, languages, documents.
+
+LAW = "<html><body><p>TÍTULO I</p><p>DOS DIREITOS</p><p>CAPÍTULO I Disposições</p><p>Art. 1º O presente código estabelece normas.</p><p>§ 1º Texto do parágrafo.</p><p>I - primeiro inciso;</p><p>a) alínea do inciso;</p><p>Parágrafo único. (VETADO)</p><p>Art. 3 Fora de ordem.</p><p>Art. 2° Consumidor é toda pessoa.</p><p>(Incluído pela Lei)</p><p>Pena - detenção.<p>Art. 2-A. (Revogado pela Lei)</p></body></html>"
+
+
+@register()
+def legal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import statutes
+
+    return statutes.legal_units(inline(spark, "law_id string, html string", [("br-law", LAW)]))
+
+
+@register()
+def legal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import statutes
+
+    return statutes.legal_chunks(legal_units(spark, sf_dir))
+
+
+@register()
+def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import statutes
+
+    @F.udf("array<string>", useArrow=True)
+    def parts(page: str) -> list[str]:
+        return statutes.paragraphs_of(page or "")
+
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(parts("html")).alias("n", "paragraph"))
+
+
+@register("""
+WITH w AS (SELECT doc_id, text, regexp_split_to_array(lower(text[1:5000]), '[^\\p{L}]+') AS w FROM documents),
+v AS (SELECT doc_id, text, list_max([{'n': len(list_filter(w, lambda x: list_contains(['de','que','não','para','com','uma','os','por','mais','como'], x))), 'name': 'pt'}, {'n': len(list_filter(w, lambda x: list_contains(['the','of','and','to','in','is','that','it','for','was'], x))), 'name': 'en'}, {'n': len(list_filter(w, lambda x: list_contains(['que','de','no','los','del','las','por','una','con','para'], x))), 'name': 'es'}, {'n': len(list_filter(w, lambda x: list_contains(['de','la','le','et','les','des','que','une','pour','dans'], x))), 'name': 'fr'}, {'n': len(list_filter(w, lambda x: list_contains(['der','die','und','das','von','mit','den','ist','für','nicht'], x))), 'name': 'de'}]) AS best FROM w)
+SELECT doc_id, CASE WHEN length(text) < 40 OR best.n = 0 THEN 'pt' ELSE best.name END AS language FROM v
+""")
+def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import language
+
+    return table(spark, sf_dir, "documents").select("doc_id", language(F.col("text")).alias("language"))
+
+
+@register("""
+SELECT source AS path, substr(sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)), 1, 16) AS doc_id, count(*) AS pages FROM documents GROUP BY source
+""")
+def document_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import documents_of
+
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("page_no"), "text", F.lit("native").alias("method"), F.lit(False).alias("needs_ocr"))
+    return documents_of(pages).select("path", "doc_id", "pages")
