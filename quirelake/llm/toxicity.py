@@ -9,9 +9,9 @@ windows cover the whole text and its score is the largest.  Everything is numpy.
 Training takes labelled documents as bags: a document is toxic if its most toxic
 window is.  Each round the currently highest window of every toxic document is a
 positive example, and the highest and some random windows of clean documents are
-negative ones.  The sample is bounded: ``most_toxic`` and ``most_clean`` documents of
-at most ``most_bytes`` bytes, those with the smallest hash of their key; scoring
-takes every row and every word.
+negative ones.  The sample is bounded: the ``most_toxic`` and ``most_clean`` labelled
+keys of smallest hash, of these the documents of at most ``most_bytes`` bytes;
+scoring takes every row and every word.
 
 The input side of the GRUs depends on the word alone, so it is computed once for
 each distinct word and gathered; the recurrence runs over thousands of windows at
@@ -27,6 +27,7 @@ are left out; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -244,8 +245,8 @@ def score_texts(network: Network, encoder: Encoder, texts: list[list[bytes]], ba
     first = np.zeros(len(texts), np.int64)
     for i in np.flatnonzero(logits == best[owner])[::-1].tolist() if len(index) else ():
         first[owner[i]] = i
-    scores = np.where(np.isfinite(best), _sigmoid(np.where(np.isfinite(best), best, 0.0)), NO_EVIDENCE)
-    return scores.astype(np.float64), first
+    scores = np.where(np.isfinite(best), _sigmoid(np.where(np.isfinite(best), best, 0.0)).astype(np.float64), NO_EVIDENCE)
+    return scores, first
 
 
 def evidence(parts: Iterator[tuple[np.ndarray, np.ndarray]], size: int, toxic: np.ndarray, least: float) -> np.ndarray:
@@ -350,10 +351,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, most
     """The bounded training sample, as (text, label) rows in the order of the key's hash."""
     known = labels.filter(allowed & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.select("doc_id", body.alias("text")).filter(F.octet_length("text") <= most_bytes).join(known, "doc_id")
-    rows = []
-    for label, most in ((1, most_toxic), (0, most_clean)):
-        rows += joined.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).select("text", "toxic").collect()
+    short = docs.select("doc_id", body.alias("text")).filter(F.octet_length("text") <= most_bytes)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # The limits bound what is broadcast; the texts are never shuffled.
+    chosen = [known.filter(F.col("toxic") == label).orderBy(*order).limit(most) for label, most in ((1, most_toxic), (0, most_clean))]
+    rows = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").collect()
+    rows = sorted(rows, key=lambda r: (-r["toxic"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
     return [(r["text"].encode("utf-8", "surrogatepass"), r["toxic"]) for r in rows]
 
 
