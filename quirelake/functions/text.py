@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 
 def _unaccent_pairs() -> tuple[str, str]:
-    """Letters up to U+024F that decompose to one base letter and marks, and that letter."""
+    """Characters from U+00A0 to U+024F that decompose to one base letter and marks, and that letter."""
     source, target = [], []
-    for code in range(0xC0, 0x250):
+    for code in range(0xA0, 0x250):
         base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
         if len(base) == 1 and base[0] != chr(code):
             source.append(chr(code))

@@ -42,7 +42,8 @@ def ranking_metrics(ranking: DataFrame, groups: DataFrame, k: int, *, query: str
 
 def unresolved(groups: DataFrame, known: DataFrame, *, query: str = "query_id", item: str = "item") -> DataFrame:
     """Groups none of whose items exist: judgments that must not be scored."""
-    return groups.join(known.select(item).distinct(), item, "left").groupBy(query, "grp").agg(F.count(item).alias("n")).filter("n = 0")
+    flagged = known.select(item).distinct().withColumn("__known", F.lit(1))
+    return groups.join(flagged, item, "left").groupBy(query, "grp").agg(F.count("__known").alias("n")).filter("n = 0")
 
 
 def graded_metrics(hits: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
