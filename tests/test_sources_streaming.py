@@ -1,8 +1,8 @@
 import json
 import struct
 
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from quirelake.sources import readers
 from quirelake.streaming import cases
@@ -39,23 +39,29 @@ def test_ingest(spark, tmp_path):
     assert readers.documents_of(pages).first().method == "hybrid"
 
 
-def test_streams(spark, tmp_path):
-    log = str(tmp_path / "log")
-    readers.append_log(spark.createDataFrame([("a", True, None, 0.5, 10, None)], readers.RUN), log)
-    query = cases.log_totals(spark, log).writeStream.outputMode("complete").format("memory").queryName("totals").start()
-    query.processAllAvailable()
-    readers.append_log(spark.createDataFrame([("b", False, None, 0.25, 5, None)], readers.RUN), log)
-    query.processAllAvailable()
-    query.stop()
-    r = spark.table("totals").first()
-    assert (r.runs, r.failures, r.total_tokens) == (2, 1, 15)
-
-    schema = "case_id string, client_message_id string, content string, created_at timestamp"
-    rows = [("c", "1", "Sofri um golpe", "2024-01-01 00:00:00"), ("c", "1", "Sofri um golpe", "2024-01-01 00:00:00"), ("c", "2", "Quero estorno", "2024-01-01 00:01:00")]
-    spark.createDataFrame(rows, "case_id string, client_message_id string, content string, t string").withColumn("created_at", F.to_timestamp("t")).drop("t").write.parquet(str(tmp_path / "m"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "m"))
-    writer = cases.case_facts(cases.unique_messages(stream)).writeStream.outputMode("update").format("memory").queryName("facts")
-    facts = writer.trigger(availableNow=True).start()
-    assert facts.awaitTermination(90)
-    got = spark.table("facts").collect()
-    assert [(x.case_id, x.issue_category, x.desired_resolution, x.messages) for x in got] == [("c", "fraud", "Quero estorno", 2)]
+def test_running_totals(spark, tmp_path):
+    log, out = str(tmp_path / "log"), []
+    for row in (("a", True, None, 0.5, 10, None), ("b", False, None, 0.25, 5, None)):
+        readers.append_log(spark.createDataFrame([row], readers.RUN), log)
+        writer = cases.log_totals(spark, log).writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "state"))
+        query = writer.foreachBatch(lambda rows, n: out.append(rows.first())).trigger(availableNow=True).start()
+        assert query.awaitTermination(60)
+    assert [(r.runs, r.failures, r.total_tokens) for r in out] == [(1, 0, 10), (2, 1, 15)]
+
+
+class State:
+    exists, hasTimedOut, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.ms = ms
+
+
+def test_case_state():
+    state = State()
+    frame = lambda *rows: pd.DataFrame(rows, columns=["client_message_id", "content", "created_at"])
+    next(cases._step(("c",), iter([frame(("1", "Sofri um  golpe", 1))]), state))
+    row = next(cases._step(("c",), iter([frame(("3", "Quero estorno", 3), ("2", None, 2))]), state)).iloc[0]
+    assert (row.case_id, row.complaint_summary, row.issue_category, row.desired_resolution, row.messages) == ("c", "Sofri um golpe", "fraud", "Quero estorno", 3)
