@@ -1,24 +1,29 @@
-"""Removal of line chunks that repeat across documents.
-
-Native: everything is DataFrame expressions.  A text is split into lines (at line
-breaks, and at sentence ends inside long lines, so that a passage pasted into a
-paragraph can be cut out).  Each line is hashed; rolling hashes over two line
-hashes choose the chunk boundaries.  A boundary looks only at the two lines after
-it or only at the two lines before it, so the boundaries inside a passage, and most
-of those at its two ends, do not depend on what surrounds it.
-
-Of a chunk that several documents hold, the document with the smallest key keeps
-it.  In the others, adjacent repeated chunks form runs; a run of ``min_words`` words
-or more is removed (it has several lines, or one line as long as several), once the texts of its chunks have been
-compared as bytes with the keeper's.  For all chunks only hashes are shuffled;
-texts only for chunks that are to go, and those of their keepers.
+"""Removal of passages that repeat across documents.
+
+Native: everything is DataFrame expressions.  A text is split into words and these
+into phrases: a phrase ends at a line break, at a sentence end, or after a word whose
+hash says so (one in ``modulus``), so that phrases do not depend on what stands
+around a pasted passage.  Each phrase is hashed; rolling hashes over two phrase
+hashes choose the chunk boundaries, where they are 0.  A boundary looks only at the
+two phrases after it or only at the two before it, so a chunk spans several phrases
+and the boundaries inside a passage are the same in every document.
+
+Chunks only find passages (seeds).  Of a chunk that several documents hold, the
+document with the smallest key is the keeper.  From its chunks each other document is
+compared word by word with one and the same keeper, to both sides as far as the
+words are equal, also into lines that differ further on; a stretch of ``min_words``
+equal words or more is removed.  Only hashes are shuffled for all chunks; texts only
+where the words beside two equal chunks leave room for a stretch of that length.
+
+A stretch that ends with up to three words of the next line or sentence, or begins
+with up to three of the one before, leaves those: so many are equal by chance.
 
 Defined cases: null and empty texts stay as they are; a repeated document loses
 what it shares with the one of smallest key, and a document that loses all its
 words is dropped; rows with the same key count as one document; rows with a null
-key are not compared and stay; lines are compared without blanks at their ends;
-words are counted by the blanks and line breaks after them; other columns are returned as they
-are; an empty table gives an empty result; a text of any length is one row.
+key are not compared and stay; words are what blanks and line breaks separate, and
+are compared without these; other columns are returned as they are; an empty table
+gives an empty result; a text of any length is one row.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: A line ends after a line break, or after a sentence end and a blank.
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
+#: A word begins after blanks; the blanks belong to the word before.
+WORD_START = r"(?<=[ \t\n\r])(?=[^ \t\n\r])"
 BLANKS = " \t\n\r"
-#: Bytes from which a line is a chunk of its own.
-WIDE = 200
+#: Least words of a chunk that is looked up, and words beside a chunk that are hashed.
+SEED_WORDS, BESIDE = 4, 4
+#: Words beyond the outermost equal chunks in which a stretch is followed.
+REACH = 64
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,82 +49,91 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _bare(line: Column) -> Column:
-    return F.trim(line, F.lit(BLANKS))
+def _bare(word: Column) -> Column:
+    return F.trim(word, F.lit(BLANKS))
 
 
-def _cut(text: Column, modulus: int) -> Column:
-    """struct(lines, hashes of lines, chunk starts from 0) of a text."""
+def _words(text: Column) -> Column:
+    """Array of the words of a text with the blanks after them; joined they give the text."""
+    return F.split(text, WORD_START, -1)
 
-    def starts(h: Column, wide: Column) -> Column:
-        def cut(i: Column) -> Column:
-            after = F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(modulus)) != 0
-            before = F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i - 2), F.lit(7)), F.lit(modulus)) != 0
-            alone = F.get(wide, i) | F.get(wide, i - 1)
-            return (i == 0) | after | ((i > 1) & before) | alone
-
-        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), cut)
 
-    def hashed(lines: Column) -> Column:
-        marks = F.struct(F.transform(lines, lambda line: F.xxhash64(_bare(line))).alias("h"), F.transform(lines, lambda line: F.octet_length(line) >= WIDE).alias("w"))
-        return _let(marks, lambda m: F.struct(lines.alias("lines"), m["h"].alias("h"), starts(m["h"], m["w"]).alias("s")))
+def _ends(word: Column) -> Column:
+    """Whether a line or sentence ends with the word."""
+    return word.endswith("\n") | word.endswith(". ") | word.endswith("! ") | word.endswith("? ")
 
-    return _let(F.split(text, LINE_END, -1), hashed)
 
+def chunk_marks(text: Column, modulus: int) -> Column:
+    """Array of struct(h hash, p first word, n words, u phrases, b and a hashes of the words before and after) of the chunks."""
 
-def _chunks(text: Column, modulus: int, part: Callable[[Column, Column, Column], Column]) -> Column:
-    """Array of ``part(lines, hashes, number of lines)`` over the chunks of a text."""
+    def of_words(w: Column) -> Column:
+        ends = F.filter(F.transform(w, lambda x, j: F.when((F.pmod(F.xxhash64(x), F.lit(modulus)) == 0) | _ends(x), j + 1)), lambda j: j.isNotNull() & (j < F.size(w)))
+        marks = F.struct(F.transform(w, _bare).alias("w"), F.concat(F.array(F.lit(0)), ends, F.array(F.size(w))).alias("s"))
+        return _let(marks, of_phrases)
 
-    def of(x: Column) -> Column:
-        def at(s: Column, j: Column) -> Column:
-            n = F.coalesce(F.get(x["s"], j + 1), F.size(x["lines"])) - s
-            return part(F.slice(x["lines"], s + 1, n), F.slice(x["h"], s + 1, n), n)
+    def of_phrases(m: Column) -> Column:
+        hashes = F.transform(F.slice(m["s"], 1, F.size(m["s"]) - 1), lambda s, k: F.xxhash64(F.slice(m["w"], s + 1, F.get(m["s"], k + 1) - s)))
+        return _let(hashes, lambda h: _let(F.concat(boundaries(h), F.array(F.size(h))), lambda c: chunks(m, h, c)))
 
-        return F.transform(x["s"], at)
+    def boundaries(h: Column) -> Column:
+        def cut(i: Column) -> Column:
+            after = F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(modulus)) == 0
+            before = F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i - 2), F.lit(7)), F.lit(modulus)) == 0
+            return (i == 0) | after | ((i > 1) & before)
 
-    return _let(_cut(text, modulus), of)
+        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), cut)
 
+    def chunks(m: Column, h: Column, c: Column) -> Column:
+        def at(k: Column, j: Column) -> Column:
+            to = F.get(c, j + 1)
+            place = F.struct(k.alias("k"), to.alias("to"), F.get(m["s"], k).alias("p"), F.get(m["s"], to).alias("e"))
+            return _let(place, lambda x: F.struct(
+                F.xxhash64(F.slice(h, x["k"] + 1, x["to"] - x["k"])).alias("h"), x["p"].alias("p"), (x["e"] - x["p"]).alias("n"), (x["to"] - x["k"]).alias("u"),
+                F.hash(F.slice(m["w"], F.greatest(x["p"] - BESIDE, F.lit(0)) + 1, F.least(x["p"], F.lit(BESIDE)))).alias("b"), F.hash(F.slice(m["w"], x["e"] + 1, F.lit(BESIDE))).alias("a"),
+            ))
 
-def chunk_marks(text: Column, modulus: int) -> Column:
-    """Array of struct(h hash, w words) of the chunks of a text."""
+        return F.transform(F.slice(c, 1, F.size(c) - 1), at)
 
-    def part(lines: Column, h: Column, n: Column) -> Column:
-        body = F.array_join(lines, "")
-        words = F.octet_length(body) - F.octet_length(F.replace(F.replace(body, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
-        return F.struct(F.xxhash64(h).alias("h"), words.alias("w"))
+    return _let(_words(text), of_words)
 
-    return _chunks(text, modulus, part)
 
+def _stretches(words: Column, found: Column, min_words: int) -> Column:
+    """Array of struct(a, b): words a to b - 1 are equal to words of a keeper.
 
-def chunk_texts(text: Column, modulus: int) -> Column:
-    """Array of the chunks of a text; joined they give the text."""
-    return _chunks(text, modulus, lambda lines, h, n: F.array_join(lines, ""))
+    ``found`` is an array of struct(k text of the keeper, at word of ours where it begins).
+    """
 
+    def of(f: Column) -> Column:
+        return _let(F.struct(F.transform(_words(f["k"]), _bare).alias("k"), F.transform(words, _bare).alias("w"), f["at"].alias("at")), unequal)
 
-def chunk_bytes(text: Column, modulus: int) -> Column:
-    """Array of what is compared: the lines of each chunk without blanks at their ends."""
-    return _chunks(text, modulus, lambda lines, h, n: F.array_join(F.transform(lines, _bare), "\n"))
+    def unequal(x: Column) -> Column:
+        def differs(i: Column) -> Column:
+            return (i < 0) | (i == F.size(x["k"])) | ~F.coalesce(F.get(x["k"], i) == F.get(x["w"], i + x["at"]), F.lit(False))
 
+        bad = F.filter(F.sequence(F.lit(-1), F.size(x["k"])), differs)
+        return _let(bad, lambda b: F.filter(F.transform(b, lambda i, j: F.struct((i + 1 + x["at"]).alias("a"), (F.get(b, j + 1) + x["at"]).alias("b"))), lambda r: r["b"] - r["a"] >= min_words))
 
-def _runs(marks: Column) -> Column:
-    """Sorted structs with field ``i`` as an array of slices with consecutive ``i``."""
+    def whole(r: Column) -> Column:
+        begin = [F.when((r["a"] + c == 0) | _ends(F.get(words, r["a"] + c - 1)), r["a"] + c) for c in range(4)]
+        end = [F.when((r["b"] - c == F.size(words)) | _ends(F.get(words, r["b"] - c - 1)), r["b"] - c) for c in range(4)]
+        return F.struct(F.coalesce(*begin, r["a"]).alias("a"), F.coalesce(*end, r["b"]).alias("b"))
 
-    def of(x: Column) -> Column:
-        def begins(k: Column) -> Column:
-            return (k == 0) | (F.get(x, k)["i"] != F.get(x, k - 1)["i"] + 1)
+    return F.transform(F.array_distinct(F.flatten(F.transform(found, of))), whole)
 
-        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), begins)
-        return _let(starts, lambda s: F.transform(s, lambda b, j: F.slice(x, b + 1, F.coalesce(F.get(s, j + 1), F.size(x)) - b)))
 
-    return _let(marks, of)
+def _without(text: Column, found: Column, min_words: int) -> Column:
+    """The text without the stretches that ``found`` shows; null if there are none."""
 
+    def rest(w: Column, cuts: Column) -> Column:
+        gone = F.flatten(F.transform(cuts, lambda r: F.sequence(r["a"], r["b"] - 1)))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), gone)
+        return F.when(F.size(cuts) > 0, F.rtrim(F.array_join(F.transform(kept, lambda i: F.get(w, i)), ""), F.lit(BLANKS)))
 
-def _total(run: Column, field: str) -> Column:
-    return F.aggregate(run, F.lit(0).cast("long"), lambda a, m: a + m[field])
+    return _let(_words(text), lambda w: _let(_stretches(w, found, min_words), lambda cuts: rest(w, cuts)))
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", modulus: int = 4, min_words: int = 25, length: str | None = None) -> DataFrame:
-    """``docs`` without the runs of chunks that a document of smaller key holds too.
+    """``docs`` without the passages of ``min_words`` words or more that a document of smaller key holds too.
 
     ``length`` names a column of ``docs`` to be set to the length of a changed text.
     """
@@ -125,41 +141,43 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     d = docs.alias("d")
     body, doc = F.col(f"d.{text}").cast("string"), F.col(f"d.{key}")
     source = d.filter(doc.isNotNull() & (F.length(body) > 0))
-    marks = scratch.table(source.select(doc.alias("doc"), F.xxhash64(body).alias("row"), chunk_marks(body, modulus).alias("m")), "marks")
-    spread = marks.select("doc", "row", F.posexplode("m").alias("i", "m")).select("doc", "row", "i", "m.*")
+    seeds = F.filter(chunk_marks(body, modulus), lambda m: m["n"] >= SEED_WORDS)
+    marks = scratch.table(source.select(doc.alias("doc"), F.xxhash64(body).alias("row"), F.transform(seeds, lambda m: m.dropFields("u")).alias("m")), "marks")
+    spread = marks.select("doc", "row", F.explode("m").alias("m")).select("doc", "row", "m.*")
 
     # By hash: which chunks are held by several documents, and by which first.
     repeated = scratch.table(spread.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h", "low"), "repeated")
-    foreign = spread.join(repeated, "h").filter("doc > low").groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("i", "h", "w"))).alias("x"))
-    going = foreign.select("doc", "row", F.explode(_runs(F.col("x"))).alias("run")).filter(_total(F.col("run"), "w") >= min_words)
-    going = scratch.table(going.select("doc", "row", F.explode("run").alias("m")).select("doc", "row", "m.i", "m.h"), "going")
-
-    # By bytes: the texts of those chunks and of their keepers, in the documents that hold them.
-    keeper = spread.join(repeated.join(going.select("h").distinct(), "h", "left_semi"), "h").filter("doc = low").select("doc", "row", "i")
-    wanted = going.select("doc", "row", "i").unionByName(keeper).groupBy("doc", "row").agg(F.array_sort(F.collect_set("i")).alias("at"))
-    same = (doc == F.col("w.doc")) & (F.xxhash64(body) == F.col("w.row"))
-    held = d.join(wanted.alias("w").hint("shuffle_hash"), same).select("w.doc", "w.row", "w.at", chunk_bytes(body, modulus).alias("parts"))
-    texts = held.select("doc", "row", F.explode(_let(F.col("parts"), lambda p: F.transform("at", lambda i: F.struct(i.alias("i"), F.get(p, i).alias("t"))))).alias("x")).select("doc", "row", "x.*")
-    texts = scratch.table(texts, "texts")
-    owned = texts.groupBy("t").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("t", "low")
-    proven = texts.join(owned, "t").filter("doc > low").select("doc", "row", "i")
-    gone = going.join(proven, ["doc", "row", "i"], "left_semi").groupBy("doc", "row").agg(F.array_sort(F.collect_set(F.struct("i"))).alias("x"))
-    gone = scratch.table(gone.select("doc", "row", F.transform(_runs(F.col("x")), lambda r: F.struct(F.get(r, F.lit(0))["i"].alias("a"), F.element_at(r, -1)["i"].alias("b"))).alias("cut")), "gone")
-    for name in ("marks", "repeated", "going", "texts"):
+    held = scratch.table(spread.join(repeated, "h"), "held")
+    scratch.drop("marks")
+    keeper = held.filter("doc = low").groupBy("h").agg(F.min(F.struct("row", "p", "b", "a")).alias("q")).select("h", F.col("q.row").alias("krow"), F.col("q.p").alias("q"), F.col("q.b").alias("kb"), F.col("q.a").alias("ka"))
+    # Unequal words beside a chunk leave less than BESIDE equal ones on that side.
+    room = F.col("n") + sum(F.when(F.col(x) == F.col(f"k{x}"), min_words).otherwise(BESIDE - 1) for x in "ba")
+    pairs = held.filter("doc > low").join(keeper, "h").filter(room >= min_words).withColumn("shift", F.col("p") - F.col("q"))
+    places = pairs.groupBy("doc", "row", "low", "krow", "shift").agg(F.greatest(F.min("q") - REACH, F.lit(0)).alias("from"), (F.max(F.col("q") + F.col("n")) + REACH).alias("to"))
+    places = scratch.table(places, "places")
+
+    # By words: the keepers' texts at those places, once for each place, to the documents they are compared with.
+    asked = places.select("low", "krow", "from", "to").distinct().groupBy("low", "krow").agg(F.collect_list(F.struct("from", "to")).alias("at")).alias("w")
+    same = (doc == F.col("w.low")) & (F.xxhash64(body) == F.col("w.krow"))
+    shown = d.join(asked.hint("shuffle_hash"), same)
+    cut = _let(_words(body), lambda w: F.transform("w.at", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), F.array_join(F.slice(w, x["from"] + 1, x["to"] - x["from"]), "").alias("k"))))
+    shown = scratch.table(shown.select("w.low", "w.krow", F.explode(cut).alias("x")).select("low", "krow", "x.*"), "shown")
+    found = places.join(shown, ["low", "krow", "from", "to"]).groupBy("doc", "row").agg(F.collect_set(F.struct("k", (F.col("from") + F.col("shift")).alias("at"))).alias("found"))
+    found = scratch.table(found, "found")
+    for name in ("repeated", "held", "places", "shown"):
         scratch.drop(name)
 
     same = (doc == F.col("g.doc")) & (F.xxhash64(body) == F.col("g.row"))
-    joined = d.join(gone.alias("g").hint("shuffle_hash"), same, "left")
-    left = F.filter(chunk_texts(body, modulus), lambda t, i: ~F.exists("g.cut", lambda r: (r["a"] <= i) & (i <= r["b"])))
-    new = F.when(F.col("g.cut").isNull(), body).otherwise(F.rtrim(F.array_join(left, ""), F.lit(BLANKS)))
-    changed = joined.select(*[F.col(f"d.{c}") for c in docs.columns if c != text], new.alias("__new"), F.col("g.cut").isNotNull().alias("__changed"))
-    changed = changed.filter(~F.col("__changed") | (F.length(_bare(F.col("__new"))) > 0))
+    joined = d.join(found.alias("g").hint("shuffle_hash"), same, "left")
+    new = F.when(F.col("g.found").isNotNull(), _without(body, F.col("g.found"), min_words))
+    changed = joined.select(*[F.col(f"d.{c}") for c in docs.columns if c != text], body.alias("__old"), new.alias("__new"))
+    changed = changed.filter(F.col("__new").isNull() | (F.length(_bare(F.col("__new"))) > 0))
 
     def column(c: str) -> Column:
         if c == text:
-            return F.col("__new").alias(c)
+            return F.coalesce("__new", "__old").alias(c)
         if c == length:
-            return F.when(F.col("__changed"), F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+            return F.when(F.col("__new").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
         return F.col(c)
 
     return changed.select(*[column(c) for c in docs.columns])

@@ -1,6 +1,6 @@
 import random
 
-from quirelake.llm.linededup import remove_repeats
+from quirelake.llm.linededup import chunk_marks, remove_repeats
 from tests.llm.conftest import sentence, text_of
 
 
@@ -56,3 +56,23 @@ def test_defined_cases(spark, make_docs):
 def test_no_python_on_executors(spark, make_docs, corpus):
     plan = remove_repeats(make_docs(corpus))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_chunks_span_several_phrases(spark, make_docs, corpus):
+    """Boundaries are chosen by the rolling hash, not nearly everywhere."""
+    from pyspark.sql import functions as F
+
+    marks = make_docs(corpus).select(F.explode(chunk_marks(F.col("text"), 4)).alias("m")).select("m.*")
+    phrases, alone = marks.agg(F.avg("u"), F.avg((F.col("u") == 1).cast("int"))).first()
+    assert phrases > 1.8 and alone < 0.6
+
+
+def test_a_stretch_needs_one_keeper(spark, make_docs):
+    """Two lines of 15 words from different documents are no passage of 25 words."""
+    r = random.Random(6)
+    first, second = sentence(r, 15), sentence(r, 15)
+    docs = {0: first + "\n" + text_of(r), 1: text_of(r) + "\n" + second, 2: text_of(r) + "\n" + first + "\n" + second + "\n" + text_of(r)}
+    docs[3] = text_of(r) + "\n" + first + "\n" + second + "\n" + text_of(r)
+    got = rows_of(remove_repeats(make_docs(docs)))
+    assert all(got[i] == docs[i] for i in range(3))
+    assert first not in got[3] and second not in got[3]
