@@ -67,9 +67,12 @@ def chunk_marks(text: Column, modulus: int) -> Column:
     """Array of struct(h hash, p first word, n words, u phrases, b and a hashes of the words before and after) of the chunks."""
 
     def of_words(w: Column) -> Column:
-        ends = F.filter(F.transform(w, lambda x, j: F.when((F.pmod(F.xxhash64(x), F.lit(modulus)) == 0) | _ends(x), j + 1)), lambda j: j.isNotNull() & (j < F.size(w)))
-        marks = F.struct(F.transform(w, _bare).alias("w"), F.concat(F.array(F.lit(0)), ends, F.array(F.size(w))).alias("s"))
-        return _let(marks, of_phrases)
+        marks = F.transform(w, lambda x: F.struct(F.xxhash64(_bare(x)).alias("h"), _ends(x).alias("e")))
+        return _let(marks, lambda m: _let(F.struct(m["h"].alias("w"), ends(m).alias("s")), of_phrases))
+
+    def ends(m: Column) -> Column:
+        at = F.filter(F.transform(m, lambda x, j: F.when((F.pmod(x["h"], F.lit(modulus)) == 0) | x["e"], j + 1)), lambda j: j.isNotNull() & (j < F.size(m)))
+        return F.concat(F.array(F.lit(0)), at, F.array(F.size(m)))
 
     def of_phrases(m: Column) -> Column:
         hashes = F.transform(F.slice(m["s"], 1, F.size(m["s"]) - 1), lambda s, k: F.xxhash64(F.slice(m["w"], s + 1, F.get(m["s"], k + 1) - s)))
@@ -89,7 +92,7 @@ def chunk_marks(text: Column, modulus: int) -> Column:
             place = F.struct(k.alias("k"), to.alias("to"), F.get(m["s"], k).alias("p"), F.get(m["s"], to).alias("e"))
             return _let(place, lambda x: F.struct(
                 F.xxhash64(F.slice(h, x["k"] + 1, x["to"] - x["k"])).alias("h"), x["p"].alias("p"), (x["e"] - x["p"]).alias("n"), (x["to"] - x["k"]).alias("u"),
-                F.hash(F.slice(m["w"], F.greatest(x["p"] - BESIDE, F.lit(0)) + 1, F.least(x["p"], F.lit(BESIDE)))).alias("b"), F.hash(F.slice(m["w"], x["e"] + 1, F.lit(BESIDE))).alias("a"),
+                F.hash(*[F.get(m["w"], x["p"] - 1 - i) for i in range(BESIDE)]).alias("b"), F.hash(*[F.get(m["w"], x["e"] + i) for i in range(BESIDE)]).alias("a"),
             ))
 
         return F.transform(F.slice(c, 1, F.size(c) - 1), at)
@@ -103,12 +106,12 @@ def _stretches(words: Column, found: Column, min_words: int) -> Column:
     ``found`` is an array of struct(k text of the keeper, at word of ours where it begins).
     """
 
-    def of(f: Column) -> Column:
-        return _let(F.struct(F.transform(_words(f["k"]), _bare).alias("k"), F.transform(words, _bare).alias("w"), f["at"].alias("at")), unequal)
+    def of(f: Column, bare: Column) -> Column:
+        return _let(F.struct(F.transform(_words(f["k"]), _bare).alias("k"), f["at"].alias("at")), lambda x: unequal(x, bare))
 
-    def unequal(x: Column) -> Column:
+    def unequal(x: Column, bare: Column) -> Column:
         def differs(i: Column) -> Column:
-            return (i < 0) | (i == F.size(x["k"])) | ~F.coalesce(F.get(x["k"], i) == F.get(x["w"], i + x["at"]), F.lit(False))
+            return (i < 0) | (i == F.size(x["k"])) | ~F.coalesce(F.get(x["k"], i) == F.get(bare, i + x["at"]), F.lit(False))
 
         bad = F.filter(F.sequence(F.lit(-1), F.size(x["k"])), differs)
         return _let(bad, lambda b: F.filter(F.transform(b, lambda i, j: F.struct((i + 1 + x["at"]).alias("a"), (F.get(b, j + 1) + x["at"]).alias("b"))), lambda r: r["b"] - r["a"] >= min_words))
@@ -118,7 +121,8 @@ def _stretches(words: Column, found: Column, min_words: int) -> Column:
         end = [F.when((r["b"] - c == F.size(words)) | _ends(F.get(words, r["b"] - c - 1)), r["b"] - c) for c in range(4)]
         return F.struct(F.coalesce(*begin, r["a"]).alias("a"), F.coalesce(*end, r["b"]).alias("b"))
 
-    return F.transform(F.array_distinct(F.flatten(F.transform(found, of))), whole)
+    equal = _let(F.transform(words, _bare), lambda bare: F.flatten(F.transform(found, lambda f: of(f, bare))))
+    return F.transform(F.array_distinct(equal), whole)
 
 
 def _without(text: Column, found: Column, min_words: int) -> Column:
@@ -169,15 +173,16 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     same = (doc == F.col("g.doc")) & (F.xxhash64(body) == F.col("g.row"))
     joined = d.join(found.alias("g").hint("shuffle_hash"), same, "left")
-    new = F.when(F.col("g.found").isNotNull(), _without(body, F.col("g.found"), min_words))
-    changed = joined.select(*[F.col(f"d.{c}") for c in docs.columns if c != text], body.alias("__old"), new.alias("__new"))
-    changed = changed.filter(F.col("__new").isNull() | (F.length(_bare(F.col("__new"))) > 0))
+    new = _let(F.when(F.col("g.found").isNotNull(), _without(body, F.col("g.found"), min_words)), lambda t: F.array(F.struct(F.coalesce(t, body).alias("t"), t.isNotNull().alias("changed"))))
+    # A generator computes the new text once; a row that has lost all its words gives none.
+    rows = F.explode(F.filter(new, lambda x: ~x["changed"] | (F.length(_bare(x["t"])) > 0)))
+    changed = joined.select(*[F.col(f"d.{c}") for c in docs.columns if c != text], rows.alias("__new"))
 
     def column(c: str) -> Column:
         if c == text:
-            return F.coalesce("__new", "__old").alias(c)
+            return F.col("__new.t").alias(c)
         if c == length:
-            return F.when(F.col("__new").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
+            return F.when(F.col("__new.changed"), F.length("__new.t")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
         return F.col(c)
 
     return changed.select(*[column(c) for c in docs.columns])
