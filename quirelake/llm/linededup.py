@@ -1,19 +1,22 @@
 """Removal of passages that repeat across documents.
 
-Native: everything is DataFrame expressions.  A text is split into words and these
-into phrases: a phrase ends at a line break, at a sentence end, or after a word whose
-hash says so (one in ``modulus``), so that phrases do not depend on what stands
-around a pasted passage.  Each phrase is hashed; rolling hashes over two phrase
-hashes choose the chunk boundaries, where they are 0.  A boundary looks only at the
-two phrases after it or only at the two before it, so a chunk spans several phrases
-and the boundaries inside a passage are the same in every document.
+Native: everything is DataFrame expressions.  A text is cut into phrases, the lines of
+this operator: a phrase begins at a line or sentence that begins with a capital or a
+digit, and at a word whose first letter says so (``PHRASE``), so that phrases do not
+depend on what stands around a pasted passage.  Each phrase is hashed; a rolling hash over two phrases in a row chooses
+the chunk boundaries, at its local minima.  A boundary depends on four phrases only and
+there is one in every two to six, so a chunk spans several phrases and the boundaries
+inside a passage are the same in every document.
 
 Chunks only find passages (seeds).  Of a chunk that several documents hold, the
 document with the smallest key is the keeper.  From its chunks each other document is
-compared word by word with one and the same keeper, to both sides as far as the
-words are equal, also into lines that differ further on; a stretch of ``min_words``
-equal words or more is removed.  Only hashes are shuffled for all chunks; texts only
-where the words beside two equal chunks leave room for a stretch of that length.
+compared, phrase by phrase and in the outermost phrases word by word, with one and the
+same keeper; a stretch of ``min_words`` equal words or more is removed.  Only hashes are
+shuffled for all chunks; texts only where two chunks or one long chunk are equal.
+
+Skew: frequent chunks are reduced where they are read; a chunk or passage that holds
+more than 1/4096 of the rows (so at most 4096 of them) is joined by a broadcast of its
+few numbers, or its rows are dealt over copies of its text.
 
 A stretch that ends with up to three words of the next line or sentence, or begins
 with up to three of the one before, leaves those: so many are equal by chance.
@@ -21,9 +24,10 @@ with up to three of the one before, leaves those: so many are equal by chance.
 Defined cases: null and empty texts stay as they are; a repeated document loses
 what it shares with the one of smallest key, and a document that loses all its
 words is dropped; rows with the same key count as one document; rows with a null
-key are not compared and stay; words are what blanks and line breaks separate, and
-are compared without these; other columns are returned as they are; an empty table
-gives an empty result; a text of any length is one row.
+key come after all others, by the hash of their text, and rows with the same key and
+text are one; phrases are equal if their bytes are, so text that is wrapped in another
+way is another text; other columns are returned as they are, whatever their names; an
+empty table gives an empty result; a text of any length is one row.
 """
 
 from __future__ import annotations
@@ -35,13 +39,21 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: A word begins after blanks; the blanks belong to the word before.
-WORD_START = r"(?<=[ \t\n\r])(?=[^ \t\n\r])"
+#: Where a phrase begins: at a line break or blank before one of these letters, about
+#: one word in three in languages of Latin letters, every word beyond those (U+0250 and
+#: up); every capital, so that a sentence begins a phrase.  The blank belongs to it.
+PHRASE = r"(?=[ \n][A-Z0-9adhlor\u0250-\uFFFF])"
+#: Where a word begins; the blanks before it belong to it.
+WORD = r"(?<=[^ \t\n\r])(?=[ \t\n\r])"
 BLANKS = " \t\n\r"
-#: Least words of a chunk that is looked up, and words beside a chunk that are hashed.
-SEED_WORDS, BESIDE = 4, 4
-#: Words beyond the outermost equal chunks in which a stretch is followed.
-REACH = 64
+#: Least characters of a chunk that is looked up.
+SEED_CHARS = 20
+#: Characters for each of ``min_words`` from which one equal chunk alone is compared.
+WORD_CHARS = 6
+#: Phrases beyond the outermost equal chunks that are compared, and the grid of such pieces.
+REACH, GRID = 8, 16
+#: A key with more than one in so many rows is dealt over several tasks.
+HOT_SHARE = 4096
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,136 +65,198 @@ def _bare(word: Column) -> Column:
     return F.trim(word, F.lit(BLANKS))
 
 
+def _phrases(text: Column) -> Column:
+    """Array of the phrases of a text; joined they give the text."""
+    return F.split(text, PHRASE, -1)
+
+
 def _words(text: Column) -> Column:
-    """Array of the words of a text with the blanks after them; joined they give the text."""
-    return F.split(text, WORD_START, -1)
+    """Array of the words of a text with the blanks before them; joined they give the text."""
+    return F.split(text, WORD, -1)
 
 
-def _ends(word: Column) -> Column:
-    """Whether a line or sentence ends with the word."""
-    return word.endswith("\n") | word.endswith(". ") | word.endswith("! ") | word.endswith("? ")
+def _ends(phrase: Column, following: Column) -> Column:
+    """Whether a line or sentence ends with the phrase."""
+    return F.coalesce(phrase.endswith(".") | phrase.endswith("!") | phrase.endswith("?") | following.startswith("\n"), F.lit(False))
 
 
-def chunk_marks(text: Column, modulus: int) -> Column:
-    """Array of struct(h hash, p first word, n words, u phrases, b and a hashes of the words before and after) of the chunks."""
+def _joined(parts: Column, start: Column, end: Column) -> Column:
+    """Text of the parts from ``start`` to before ``end``."""
+    return F.when(end > start, F.array_join(F.transform(F.sequence(start, end - 1), lambda i: F.get(parts, i)), "")).otherwise("")
 
-    def of_words(w: Column) -> Column:
-        marks = F.transform(w, lambda x: F.struct(F.xxhash64(_bare(x)).alias("h"), _ends(x).alias("e")))
-        return _let(marks, lambda m: _let(F.struct(m["h"].alias("w"), ends(m).alias("s")), of_phrases))
 
-    def ends(m: Column) -> Column:
-        at = F.filter(F.transform(m, lambda x, j: F.when((F.pmod(x["h"], F.lit(modulus)) == 0) | x["e"], j + 1)), lambda j: j.isNotNull() & (j < F.size(m)))
-        return F.concat(F.array(F.lit(0)), at, F.array(F.size(m)))
+def chunk_marks(text: Column) -> Column:
+    """Array of struct(h hash, p first phrase, n phrases, l characters) of the chunks of a text."""
 
-    def of_phrases(m: Column) -> Column:
-        hashes = F.transform(F.slice(m["s"], 1, F.size(m["s"]) - 1), lambda s, k: F.xxhash64(F.slice(m["w"], s + 1, F.get(m["s"], k + 1) - s)))
-        return _let(hashes, lambda h: _let(F.concat(boundaries(h), F.array(F.size(h))), lambda c: chunks(m, h, c)))
+    def of(p: Column) -> Column:
+        return _let(F.transform(p, lambda x: F.xxhash64(x)), lambda h: _let(rolling(h), lambda r: _let(cuts(r), lambda c: chunks(p, c))))
 
-    def boundaries(h: Column) -> Column:
-        def cut(i: Column) -> Column:
-            after = F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(modulus)) == 0
-            before = F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i - 2), F.lit(7)), F.lit(modulus)) == 0
-            return (i == 0) | after | ((i > 1) & before)
+    def rolling(h: Column) -> Column:
+        """Of each two phrases in a row; the next one comes in and the first goes out by one exclusive or each."""
+        return F.transform(h, lambda x, i: x.bitwiseXOR(F.get(h, i + 1)))
 
-        return F.filter(F.sequence(F.lit(0), F.size(h) - 1), cut)
+    def cuts(r: Column) -> Column:
+        # Beside a missing neighbour the comparison is null, so the ends of a text are no minima.
+        least = F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)), i))
+        return F.concat(F.array(F.lit(0)), F.array_compact(least), F.array(F.size(r)))
 
-    def chunks(m: Column, h: Column, c: Column) -> Column:
+    def chunks(p: Column, c: Column) -> Column:
         def at(k: Column, j: Column) -> Column:
             to = F.get(c, j + 1)
-            place = F.struct(k.alias("k"), to.alias("to"), F.get(m["s"], k).alias("p"), F.get(m["s"], to).alias("e"))
-            return _let(place, lambda x: F.struct(
-                F.xxhash64(F.slice(h, x["k"] + 1, x["to"] - x["k"])).alias("h"), x["p"].alias("p"), (x["e"] - x["p"]).alias("n"), (x["to"] - x["k"]).alias("u"),
-                F.hash(*[F.get(m["w"], x["p"] - 1 - i) for i in range(BESIDE)]).alias("b"), F.hash(*[F.get(m["w"], x["e"] + i) for i in range(BESIDE)]).alias("a"),
-            ))
+            return _let(_joined(p, k, to), lambda x: F.struct(F.xxhash64(x).alias("h"), k.alias("p"), (to - k).alias("n"), F.length(x).alias("l")))
 
         return F.transform(F.slice(c, 1, F.size(c) - 1), at)
 
-    return _let(_words(text), of_words)
+    return _let(_phrases(text), of)
+
 
+def _equal_words(ours: Column, theirs: Column, at_end: bool) -> Column:
+    """Number of equal words at the begin or at the end of two phrases; 0 beside a missing phrase."""
+    side = (lambda p: F.reverse(F.transform(_words(p), _bare))) if at_end else (lambda p: F.transform(_words(p), _bare))
+    same = F.zip_with(side(ours), side(theirs), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(_let(same, lambda s: F.coalesce(F.nullif(F.array_position(s, False), F.lit(0)) - 1, F.size(s).cast("long"))), F.lit(0)).cast("int")
 
-def _stretches(words: Column, found: Column, min_words: int) -> Column:
-    """Array of struct(a, b): words a to b - 1 are equal to words of a keeper.
 
-    ``found`` is an array of struct(k text of the keeper, at word of ours where it begins).
+def _stretches(ours: Column, found: Column, min_words: int) -> Column:
+    """Array of struct(s, e): from place s to before place e our words are those of a keeper.
+
+    A place is struct(i phrase, w word in it).  ``found`` is an array of
+    struct(k text of the keeper, at phrase of ours where it begins).
     """
 
-    def of(f: Column, bare: Column) -> Column:
-        return _let(F.struct(F.transform(_words(f["k"]), _bare).alias("k"), f["at"].alias("at")), lambda x: unequal(x, bare))
+    def of(f: Column) -> Column:
+        return _let(F.struct(_phrases(f["k"]).alias("k"), f["at"].alias("at")), unequal)
 
-    def unequal(x: Column, bare: Column) -> Column:
+    def unequal(x: Column) -> Column:
         def differs(i: Column) -> Column:
-            return (i < 0) | (i == F.size(x["k"])) | ~F.coalesce(F.get(x["k"], i) == F.get(bare, i + x["at"]), F.lit(False))
+            return (i < 0) | (i == F.size(x["k"])) | ~F.coalesce(F.get(x["k"], i) == F.get(ours, i + x["at"]), F.lit(False))
+
+        def run(i: Column, j: Column) -> Column:
+            begin, end = i + x["at"] + 1, F.get(bad[0], j + 1) + x["at"]
+            return F.when(end > begin, F.struct(begin.alias("a"), end.alias("b"), F.get(x["k"], i).alias("before"), F.get(x["k"], F.get(bad[0], j + 1)).alias("after")))
+
+        bad: list[Column] = []
 
-        bad = F.filter(F.sequence(F.lit(-1), F.size(x["k"])), differs)
-        return _let(bad, lambda b: F.filter(F.transform(b, lambda i, j: F.struct((i + 1 + x["at"]).alias("a"), (F.get(b, j + 1) + x["at"]).alias("b"))), lambda r: r["b"] - r["a"] >= min_words))
+        def runs(b: Column) -> Column:
+            bad.append(b)
+            return F.filter(F.transform(b, run), lambda r: r.isNotNull())
 
-    def whole(r: Column) -> Column:
-        begin = [F.when((r["a"] + c == 0) | _ends(F.get(words, r["a"] + c - 1)), r["a"] + c) for c in range(4)]
-        end = [F.when((r["b"] - c == F.size(words)) | _ends(F.get(words, r["b"] - c - 1)), r["b"] - c) for c in range(4)]
-        return F.struct(F.coalesce(*begin, r["a"]).alias("a"), F.coalesce(*end, r["b"]).alias("b"))
+        return F.transform(_let(F.filter(F.sequence(F.lit(-1), F.size(x["k"])), differs), runs), edges)
 
-    equal = _let(F.transform(words, _bare), lambda bare: F.flatten(F.transform(found, lambda f: of(f, bare))))
-    return F.transform(F.array_distinct(equal), whole)
+    def edges(r: Column) -> Column:
+        before, after = F.get(ours, r["a"] - 1), F.get(ours, r["b"])
+        # Every phrase but the first of a text holds a word.
+        body = F.when(r["b"] - r["a"] > min_words, r["b"] - r["a"]).otherwise(F.size(_words(F.trim(_joined(ours, r["a"], r["b"]), F.lit(BLANKS)))))
+        value = F.struct(r["a"].alias("a"), r["b"].alias("b"), body.alias("n"), _equal_words(before, r["before"], True).alias("t"), _equal_words(after, r["after"], False).alias("h"))
+        return _let(value, lambda v: F.when(v["n"] + v["t"] + v["h"] >= min_words, place(v, before)))
+
+    def place(v: Column, before: Column) -> Column:
+        tail = F.when((v["t"] > 3) | ~_ends(before, F.get(ours, v["a"])), v["t"]).otherwise(0)
+        head = F.when((v["h"] > 3) | ~_ends(F.get(ours, v["b"] - 1), F.get(ours, v["b"])), v["h"]).otherwise(0)
+        first = F.when(tail > 0, F.struct((v["a"] - 1).alias("i"), (F.size(_words(before)) - tail).alias("w")))
+        return F.struct(F.coalesce(first, F.struct(v["a"].alias("i"), F.lit(0).alias("w"))).alias("s"), F.struct(v["b"].alias("i"), head.alias("w")).alias("e"))
+
+    return F.filter(F.flatten(F.transform(found, of)), lambda r: r.isNotNull())
 
 
 def _without(text: Column, found: Column, min_words: int) -> Column:
     """The text without the stretches that ``found`` shows; null if there are none."""
 
-    def rest(w: Column, cuts: Column) -> Column:
-        gone = F.flatten(F.transform(cuts, lambda r: F.sequence(r["a"], r["b"] - 1)))
-        kept = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), gone)
-        return F.when(F.size(cuts) > 0, F.rtrim(F.array_join(F.transform(kept, lambda i: F.get(w, i)), ""), F.lit(BLANKS)))
+    def rest(p: Column, cuts: Column) -> Column:
+        begin = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("w")))
+        end = F.array(F.struct(F.size(p).alias("i"), F.lit(0).alias("w")))
+        to = F.concat(F.transform(cuts, lambda c: c["s"]), end)
+        kept = _let(F.concat(begin, F.transform(cuts, lambda c: c["e"])), lambda e: F.transform(to, lambda t, j: piece(p, F.array_max(F.slice(e, F.lit(1), j + 1)), t)))
+        return F.when(F.size(cuts) > 0, _bare(F.array_join(kept, "")))
 
-    return _let(_words(text), lambda w: _let(_stretches(w, found, min_words), lambda cuts: rest(w, cuts)))
+    def piece(p: Column, a: Column, b: Column) -> Column:
+        of = lambda i: F.coalesce(_words(F.get(p, i)), F.array().cast("array<string>"))
+        within = _let(of(a["i"]), lambda w: _joined(w, a["w"], b["w"]))
+        first = F.when(a["w"] == 0, F.get(p, a["i"])).otherwise(_let(of(a["i"]), lambda w: _joined(w, a["w"], F.size(w))))
+        last = F.when(b["w"] > 0, _let(of(b["i"]), lambda w: _joined(w, F.lit(0), b["w"]))).otherwise("")
+        return F.when(a >= b, "").when(a["i"] == b["i"], within).otherwise(F.concat(first, _joined(p, a["i"] + 1, b["i"]), last))
 
+    return _let(_phrases(text), lambda p: _let(F.array_sort(F.array_distinct(_stretches(p, found, min_words))), lambda cuts: rest(p, cuts)))
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", modulus: int = 4, min_words: int = 25, length: str | None = None) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 25, length: str | None = None) -> DataFrame:
     """``docs`` without the passages of ``min_words`` words or more that a document of smaller key holds too.
 
     ``length`` names a column of ``docs`` to be set to the length of a changed text.
     """
     scratch = Scratch(docs.sparkSession, "linededup")
     d = docs.alias("d")
-    body, doc = F.col(f"d.{text}").cast("string"), F.col(f"d.{key}")
-    source = d.filter(doc.isNotNull() & (F.length(body) > 0))
-    seeds = F.filter(chunk_marks(body, modulus), lambda m: m["n"] >= SEED_WORDS)
-    marks = scratch.table(source.select(doc.alias("doc"), F.xxhash64(body).alias("row"), F.transform(seeds, lambda m: m.dropFields("u")).alias("m")), "marks")
-    spread = marks.select("doc", "row", F.explode("m").alias("m")).select("doc", "row", "m.*")
+    body, doc = F.col(f"d.`{text}`").cast("string"), F.col(f"d.`{key}`")
+    chunks = d.filter(F.length(body) > 0).select(doc.alias("doc"), F.xxhash64(body).alias("row"), F.explode(chunk_marks(body)).alias("m"))
+    marks = scratch.table(chunks.select("doc", "row", "m.*").filter(F.col("l") >= SEED_CHARS), "marks")
 
     # By hash: which chunks are held by several documents, and by which first.
-    repeated = scratch.table(spread.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h", "low"), "repeated")
-    held = scratch.table(spread.join(repeated, "h"), "held")
-    scratch.drop("marks")
-    keeper = held.filter("doc = low").groupBy("h").agg(F.min(F.struct("row", "p", "b", "a")).alias("q")).select("h", F.col("q.row").alias("krow"), F.col("q.p").alias("q"), F.col("q.b").alias("kb"), F.col("q.a").alias("ka"))
-    # Unequal words beside a chunk leave less than BESIDE equal ones on that side.
-    room = F.col("n") + sum(F.when(F.col(x) == F.col(f"k{x}"), min_words).otherwise(BESIDE - 1) for x in "ba")
-    pairs = held.filter("doc > low").join(keeper, "h").filter(room >= min_words).withColumn("shift", F.col("p") - F.col("q"))
-    places = pairs.groupBy("doc", "row", "low", "krow", "shift").agg(F.greatest(F.min("q") - REACH, F.lit(0)).alias("from"), (F.max(F.col("q") + F.col("n")) + REACH).alias("to"))
+    free = F.when(F.col("doc").isNull(), F.col("row"))
+    ends = marks.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(free).alias("nlow"), F.max(free).alias("nhigh"), F.count("*").alias("rows"))
+    several = F.coalesce(F.col("low") < F.col("high"), F.lit(False)) | (F.col("nlow").isNotNull() & (F.col("low").isNotNull() | (F.col("nlow") < F.col("nhigh"))))
+    repeated = scratch.table(ends.filter(several).select("h", "low", "nlow", "rows"), "repeated")
+    hot = F.col("rows") > _lot(repeated, "rows")
+    first = F.when(F.col("low").isNotNull(), F.col("doc") == F.col("low")).otherwise(F.col("row") == F.col("nlow"))
+    later = F.when(F.col("low").isNotNull(), F.coalesce(F.col("doc") > F.col("low"), F.lit(True))).otherwise(F.col("row") > F.col("nlow"))
+
+    def pairs(held: DataFrame, few: bool) -> DataFrame:
+        keeper = held.filter(first).groupBy("h").agg(F.min(F.struct("row", "p")).alias("k")).select("h", F.col("k.row").alias("krow"), F.col("k.p").alias("q"))
+        return held.filter(later).join(F.broadcast(keeper) if few else keeper, "h").select("doc", "row", "low", "krow", "p", "q", "n", "l")
+
+    # At most HOT_SHARE chunks are hot, so both broadcasts are bounded.
+    both = pairs(marks.join(F.broadcast(repeated.filter(hot)), "h"), True).unionByName(pairs(marks.join(repeated.filter(~hot), "h"), False))
+    low, high = F.min("q") - REACH, F.max(F.col("q") + F.col("n")) + REACH
+    places = both.groupBy("doc", "row", "low", "krow", (F.col("p") - F.col("q")).alias("shift")).agg(
+        (F.floor(F.greatest(low, F.lit(0)) / GRID) * GRID).cast("int").alias("from"), (F.ceil(high / GRID) * GRID).cast("int").alias("to"), F.count("*").alias("chunks"), F.max("l").alias("l")
+    )
+    # One short chunk alone is too little: a passage of twice min_words holds several.
+    places = places.filter((F.col("chunks") > 1) | (F.col("l") >= WORD_CHARS * min_words)).drop("chunks", "l")
     places = scratch.table(places, "places")
 
-    # By words: the keepers' texts at those places, once for each place, to the documents they are compared with.
-    asked = places.select("low", "krow", "from", "to").distinct().groupBy("low", "krow").agg(F.collect_list(F.struct("from", "to")).alias("at")).alias("w")
-    same = (doc == F.col("w.low")) & (F.xxhash64(body) == F.col("w.krow"))
-    shown = d.join(asked.hint("shuffle_hash"), same)
-    cut = _let(_words(body), lambda w: F.transform("w.at", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), F.array_join(F.slice(w, x["from"] + 1, x["to"] - x["from"]), "").alias("k"))))
-    shown = scratch.table(shown.select("w.low", "w.krow", F.explode(cut).alias("x")).select("low", "krow", "x.*"), "shown")
-    found = places.join(shown, ["low", "krow", "from", "to"]).groupBy("doc", "row").agg(F.collect_set(F.struct("k", (F.col("from") + F.col("shift")).alias("at"))).alias("found"))
-    found = scratch.table(found, "found")
-    for name in ("repeated", "held", "places", "shown"):
+    # By bytes: the keepers' texts at those places, once for each place, to the documents they are compared with.
+    place = ["low", "krow", "from", "to"]
+    asked = scratch.table(places.groupBy(*place).agg(F.count("*").alias("rows")), "asked")
+    lots = F.ceil(F.col("rows") / _lot(asked, "rows")).cast("int")
+    asked = asked.withColumn("lots", lots)
+    spots = asked.groupBy("low", "krow").agg(F.collect_list(F.struct("from", "to", "lots")).alias("at")).alias("w")
+    same = doc.eqNullSafe(F.col("w.low")) & (F.xxhash64(body) == F.col("w.krow"))
+    cut = _let(_phrases(body), lambda p: F.transform("w.at", lambda x: x.withField("k", _joined(p, x["from"], F.least(x["to"], F.size(p))))))
+    shown = d.join(spots.hint("shuffle_hash"), same).select("w.low", "w.krow", F.explode(cut).alias("x")).select("low", "krow", "x.*")
+    shown = shown.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    shown = scratch.table(shown, "shown")
+    dealt = _null_safe(places.alias("p"), F.broadcast(asked.filter("lots > 1")).alias("q"), place, "left")
+    dealt = dealt.select("p.*", F.coalesce(F.pmod(F.xxhash64("p.doc", "p.row"), F.col("q.lots").cast("long")), F.lit(0)).cast("int").alias("lot"))
+    found = _null_safe(dealt.alias("p"), shown.alias("q"), [*place, "lot"], "inner")
+    found = found.groupBy("p.doc", "p.row").agg(F.collect_set(F.struct(F.col("q.k").alias("k"), (F.col("p.from") + F.col("p.shift")).alias("at"))).alias("found"))
+    found = scratch.table(found, "found").alias("g")
+    for name in ("marks", "repeated", "places", "asked", "shown"):
         scratch.drop(name)
 
-    same = (doc == F.col("g.doc")) & (F.xxhash64(body) == F.col("g.row"))
-    joined = d.join(found.alias("g").hint("shuffle_hash"), same, "left")
+    same = doc.eqNullSafe(F.col("g.doc")) & (F.xxhash64(body) == F.col("g.row"))
+    joined = d.join(found.hint("shuffle_hash"), same, "left")
     new = _let(F.when(F.col("g.found").isNotNull(), _without(body, F.col("g.found"), min_words)), lambda t: F.array(F.struct(F.coalesce(t, body).alias("t"), t.isNotNull().alias("changed"))))
     # A generator computes the new text once; a row that has lost all its words gives none.
     rows = F.explode(F.filter(new, lambda x: ~x["changed"] | (F.length(_bare(x["t"])) > 0)))
-    changed = joined.select(*[F.col(f"d.{c}") for c in docs.columns if c != text], rows.alias("__new"))
+    changed = joined.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns if c != text]).alias("rest"), rows.alias("new"))
 
     def column(c: str) -> Column:
         if c == text:
-            return F.col("__new.t").alias(c)
+            return F.col("new.t").alias(c)
         if c == length:
-            return F.when(F.col("__new.changed"), F.length("__new.t")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
-        return F.col(c)
+            return F.when(F.col("new.changed"), F.length("new.t")).otherwise(F.col(f"rest.`{c}`")).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"rest.`{c}`").alias(c)
 
     return changed.select(*[column(c) for c in docs.columns])
+
+
+def _lot(df: DataFrame, rows: str) -> int:
+    """Rows from which a key is hot; at most HOT_SHARE keys have so many."""
+    return max(1000, (df.agg(F.sum(rows)).first()[0] or 0) // HOT_SHARE)
+
+
+def _null_safe(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join of ``a`` (alias p) and ``b`` (alias q) in which null keys are equal."""
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
+    return a.join(b, condition, how)
