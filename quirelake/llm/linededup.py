@@ -40,16 +40,16 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 #: Where a phrase begins: at a line break or blank before one of these letters, about
-#: one word in three in languages of Latin letters, every word beyond those (U+0250 and
+#: one word in four in languages of Latin letters, every word beyond those (U+0250 and
 #: up); every capital, so that a sentence begins a phrase.  The blank belongs to it.
-PHRASE = r"(?=[ \n][A-Z0-9adhlor\u0250-\uFFFF])"
+PHRASE = r"(?=[ \n][A-Z0-9dhlor\u0250-\uFFFF])"
 #: Where a word begins; the blanks before it belong to it.
 WORD = r"(?<=[^ \t\n\r])(?=[ \t\n\r])"
 BLANKS = " \t\n\r"
-#: Least characters of a chunk that is looked up.
-SEED_CHARS = 20
-#: Characters for each of ``min_words`` from which one equal chunk alone is compared.
-WORD_CHARS = 6
+#: Least characters, counted twice, of a phrase alone that is looked up.
+SEED_CHARS = 40
+#: Characters of its outer phrases, for each of ``min_words``, from which one equal chunk alone is compared.
+WORD_CHARS = 2
 #: Phrases beyond the outermost equal chunks that are compared, and the grid of such pieces.
 REACH, GRID = 8, 16
 #: A key with more than one in so many rows is dealt over several tasks.
@@ -86,26 +86,32 @@ def _joined(parts: Column, start: Column, end: Column) -> Column:
 
 
 def chunk_marks(text: Column) -> Column:
-    """Array of struct(h hash, p first phrase, n phrases, l characters) of the chunks of a text."""
+    """Array of struct(h hash, p first phrase, n phrases, l characters of the first and the last one) of the chunks of a text.
+
+    The hash is that of the number of phrases, the first two and the last two, which are
+    nearly always all; bytes are compared later.
+    """
 
     def of(p: Column) -> Column:
-        return _let(F.transform(p, lambda x: F.xxhash64(x)), lambda h: _let(rolling(h), lambda r: _let(cuts(r), lambda c: chunks(p, c))))
+        return _let(F.transform(p, lambda x: F.xxhash64(x)), lambda h: _let(cuts(h), lambda c: chunks(p, h, c)))
 
     def rolling(h: Column) -> Column:
         """Of each two phrases in a row; the next one comes in and the first goes out by one exclusive or each."""
         return F.transform(h, lambda x, i: x.bitwiseXOR(F.get(h, i + 1)))
 
-    def cuts(r: Column) -> Column:
+    def cuts(h: Column) -> Column:
         # Beside a missing neighbour the comparison is null, so the ends of a text are no minima.
-        least = F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)), i))
-        return F.concat(F.array(F.lit(0)), F.array_compact(least), F.array(F.size(r)))
+        least = _let(rolling(h), lambda r: F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)), i)))
+        return F.concat(F.array(F.lit(0)), F.array_compact(least), F.array(F.size(h)))
 
-    def chunks(p: Column, c: Column) -> Column:
+    def chunks(p: Column, h: Column, c: Column) -> Column:
         def at(k: Column, j: Column) -> Column:
-            to = F.get(c, j + 1)
-            return _let(_joined(p, k, to), lambda x: F.struct(F.xxhash64(x).alias("h"), k.alias("p"), (to - k).alias("n"), F.length(x).alias("l")))
+            return _let(F.get(c, j + 1), lambda to: F.struct(
+                F.xxhash64(to - k, F.get(h, k), F.get(h, k + 1), F.get(h, to - 2), F.get(h, to - 1)).alias("h"), k.alias("p"), (to - k).alias("n"),
+                (F.length(F.get(p, k)) + F.length(F.get(p, to - 1))).alias("l"),
+            ))
 
-        return F.transform(F.slice(c, 1, F.size(c) - 1), at)
+        return F.filter(F.transform(c, at), lambda x: x["n"] > 0)
 
     return _let(_phrases(text), of)
 
@@ -188,7 +194,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     d = docs.alias("d")
     body, doc = F.col(f"d.`{text}`").cast("string"), F.col(f"d.`{key}`")
     chunks = d.filter(F.length(body) > 0).select(doc.alias("doc"), F.xxhash64(body).alias("row"), F.explode(chunk_marks(body)).alias("m"))
-    marks = scratch.table(chunks.select("doc", "row", "m.*").filter(F.col("l") >= SEED_CHARS), "marks")
+    marks = scratch.table(chunks.select("doc", "row", "m.*").filter((F.col("n") > 1) | (F.col("l") >= SEED_CHARS)), "marks", hashes=("h",))
 
     # By hash: which chunks are held by several documents, and by which first.
     free = F.when(F.col("doc").isNull(), F.col("row"))

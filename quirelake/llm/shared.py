@@ -36,10 +36,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/quirelake/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it again: cuts the lineage, keeps nothing in executors."""
+    def table(self, df: DataFrame, name: str, hashes: tuple[str, ...] = ()) -> DataFrame:
+        """Write ``df`` and read it again: cuts the lineage, keeps nothing in executors.
+
+        For the columns ``hashes`` no dictionary is tried.
+        """
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
