@@ -3,28 +3,31 @@
 Vectors are dealt to shards of bounded size by a hash of their id, and each shard
 becomes one ball tree, stored as one row in the shared folder.  Queries travel in
 blocks; every block meets every shard once a round.  A node's upper bound for a
-query is <query, centre> + |query| * radius; nodes are visited from the largest
-bound down, and a node whose bound is below the current k-th score is cut off.
+query is <query, centre> + |query| * radius; of all nodes that are open the one with
+the largest bound is visited next, and the search of a shard ends when that bound is
+below the current k-th score.
 
-The k-th score is shared between shards in two rounds: first each shard looks only
-at its best leaf for each query, and the k-th best of all those scores is a lower
-bound for the final one.  In the second round every shard starts with that bound,
-so most shards are cut off near their root.
+The k-th score is shared between shards: in a first round each shard looks only at
+its best leaf for each query, and the k-th best of all those scores is a lower bound
+for the final one, with which every shard starts the second round.  Within a task
+each shard hands the k-th score it has reached to the next one.
 
 Scores are integers, computed exactly: components are integers (floor of scale *
 x) and the products are summed in double precision while that is exact (all
-partial sums below 2^53), else in 64-bit integers.
+partial sums below 2^53), else in 64-bit integers, else in integers of any length.
 
 Defined cases: vectors that are null, empty, or hold a null, NaN or infinite
-component take no part, nor do rows without an id; components are clipped to +-2^25
-so that scores fit a long; a repeated id counts once, with its smallest vector;
-queries only meet vectors of their own length; ties go to the smaller id; fewer
-candidates than k give fewer rows; empty tables give an empty result; other
-columns are ignored.
+component (also once scaled) take no part, nor do rows without an id; a score beyond
+the range of a long is its nearest long; rows that repeat an id are candidates each,
+but none of a query with that id, and queries that repeat an id get the k best of
+all their scores; queries only meet vectors of their own length; ties go to the
+smaller id; fewer candidates than k give fewer rows; empty tables give an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +37,16 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-LARGEST = 1 << 25
 LEAF = 64
 
 
 def integer_vectors(table: DataFrame, scale: int, *, key: str, vector: str) -> DataFrame:
-    """``id`` and ``v`` (array of long) of the rows that take part."""
-    x = F.transform(F.col(vector), lambda c: c.cast("double"))
+    """``id`` and ``v`` (array of whole doubles) of the rows that take part."""
+    x = F.transform(F.col(vector), lambda c: c.cast("double") * scale)
     whole = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    limit = F.lit(float(LARGEST))
-    v = F.transform("x", lambda c: F.floor(F.greatest(F.least(c * scale, limit), -limit)))
+    v = F.transform("x", lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c))  # beyond 2^52 doubles are whole
     rows = table.select(F.col(key).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull()).filter(F.coalesce(whole, F.lit(False)))
-    return rows.select("id", v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select("id", v.alias("v"))
 
 
 class BallTree:
@@ -81,13 +82,16 @@ class BallTree:
         self.spans, self.children = np.array(spans, np.int64), np.array(children, np.int64)
 
     def row(self) -> tuple:
-        return self.ids.tobytes(), self.points.astype(np.int32).tobytes(), self.centres.tobytes(), self.radii.tobytes(), self.spans.tobytes(), self.children.tobytes()
+        narrow = np.abs(self.points).max(initial=0) < 2**31
+        points = self.points.astype(np.int32 if narrow else np.float64)
+        return self.ids.tobytes(), points.tobytes(), self.centres.tobytes(), self.radii.tobytes(), self.spans.tobytes(), self.children.tobytes()
 
     @classmethod
     def of(cls, row: dict) -> BallTree:
         tree = object.__new__(cls)
         tree.ids = np.frombuffer(row["ids"], np.int64)
-        tree.points = np.frombuffer(row["points"], np.int32).reshape(len(tree.ids), -1)
+        narrow = len(row["points"]) == 4 * len(tree.ids) * row["dim"]
+        tree.points = np.frombuffer(row["points"], np.int32 if narrow else np.float64).reshape(len(tree.ids), -1)
         tree.radii = np.frombuffer(row["radii"], np.float64)
         tree.centres = np.frombuffer(row["centres"], np.float64).reshape(len(tree.radii), -1)
         tree.spans = np.frombuffer(row["spans"], np.int64).reshape(-1, 2)
@@ -99,27 +103,32 @@ class BallTree:
         most = float(np.abs(queries).max(initial=0)) * float(np.abs(own).max(initial=0)) * own.shape[1]
         if most < 2**53:
             return (queries.astype(np.float64) @ own.T.astype(np.float64)).astype(np.int64)
-        return queries.astype(np.int64) @ own.T.astype(np.int64)
+        if most < 2**62:
+            return queries.astype(np.int64) @ own.T.astype(np.int64)
+        exact = [[sum(int(x) * int(y) for x, y in zip(q, o, strict=True)) for o in own.tolist()] for q in queries.tolist()]
+        return np.array([[min(max(s, -(1 << 63)), (1 << 63) - 1) for s in row] for row in exact], np.int64)
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray, first_leaf: bool) -> list[tuple[int, int, int]]:
-        """(query, vector, score) of the k best of this shard at or above each query's floor."""
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        bounds = queries @ self.centres.T + length[:, None] * self.radii  # upper bounds of all nodes
-        bounds = bounds * (1 + 1e-9 * np.sign(bounds)) + 1e-3  # never below the true bound for rounding
+        """(query, vector, score) of the k best of this shard at or above each query's floor; raises the floors to its k-th scores."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+            reach = np.sqrt((self.centres**2).sum(axis=1)) + self.radii
+            bounds = queries @ self.centres.T + length[:, None] * (self.radii + 1e-9 * reach) + 1e-3  # upper bounds of all nodes, rounding included
+            bounds[np.isnan(bounds)] = np.inf
         out: list[tuple[int, int, int]] = []
         for q in range(len(ids)):
             bound, best, best_ids, floor = bounds[q], np.empty(0, np.int64), np.empty(0, np.int64), floors[q]
-            stack = [0]
-            while stack:
-                node = stack.pop()
-                if bound[node] < floor:
-                    continue
+            opened = [(-bound[0], 0)]
+            while opened:
+                least, node = heapq.heappop(opened)
+                if -least < floor:
+                    break
                 a, b = self.children[node]
                 if a >= 0:
                     if first_leaf:
-                        stack = [int(a if bound[a] >= bound[b] else b)]
-                    else:  # the larger bound is looked at first
-                        stack += [int(a), int(b)] if bound[a] < bound[b] else [int(b), int(a)]
+                        opened = []
+                    for child in (a, b) if not first_leaf else (a if bound[a] >= bound[b] else b,):
+                        heapq.heappush(opened, (-bound[child], int(child)))
                     continue
                 low, high = self.spans[node]
                 score = self.scores(queries[q : q + 1], low, high)[0]
@@ -127,10 +136,10 @@ class BallTree:
                 own = (score >= floor) & (near != ids[q])
                 best, best_ids = np.append(best, score[own]), np.append(best_ids, near[own])
                 if len(best) > k:
-                    top = np.lexsort((best_ids, -best))[:k]
+                    top = np.lexsort((best_ids, ~best))[:k]
                     best, best_ids = best[top], best_ids[top]
                 if len(best) == k:
-                    floor = max(floor, int(best.min()))
+                    floor = floors[q] = max(floor, int(best.min()))
             out += zip([int(ids[q])] * len(best), best_ids.tolist(), best.tolist(), strict=True)
         return out
 
@@ -161,12 +170,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, scale: int = 102
 
     def searched(first_leaf: bool):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reached: dict[tuple[int, int], np.ndarray] = {}  # by block: its floors, raised by each shard of this task
             for batch in batches:
                 for row in batch.to_pylist():
                     ids = np.array([q["id"] for q in row["queries"]], np.int64)
-                    vectors = np.array([q["v"] for q in row["queries"]], np.int64)
+                    vectors = np.array([q["v"] for q in row["queries"]], np.float64)
                     floors = dict(zip(row["asked"] or [], row["floors"] or [], strict=True))
-                    floor = np.array([floors.get(i, -(1 << 62)) for i in ids.tolist()], np.int64)
+                    floor = np.array([floors.get(i, -(1 << 63)) for i in ids.tolist()], np.int64)
+                    if not first_leaf:
+                        floor = reached.setdefault((row["block"], row["dim"]), floor)
                     found = BallTree.of(row).search(ids, vectors, k, floor, first_leaf)
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])

@@ -11,17 +11,12 @@ from pyspark.sql import functions as F
 
 
 def brute_top(rows, k):
-    q = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            w = [max(-(1 << 25), min(1 << 25, math.floor(1024 * x))) for x in v]
-            q[i] = min(q[i], w) if i in q else w
-    out = []
-    for a in sorted(q):
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    found = {}
+    for a, q in whole:
         if a % 100 == 0:
-            s = sorted((-sum(x * y for x, y in zip(q[a], v)), b) for b, v in q.items() if b != a and len(v) == len(q[a]))[:k]
-            out += [(a, n, b, -t) for n, (t, b) in enumerate(s, 1)]
-    return out
+            found.setdefault(a, []).extend((-max(min(sum(x * y for x, y in zip(q, v)), 2**63 - 1), -(2**63)), b) for b, v in whole if b != a and len(v) == len(q))
+    return [(a, n, b, -t) for a in sorted(found) for n, (t, b) in enumerate(sorted(found[a])[:k], 1)]
 
 
 @pytest.mark.parametrize("shard_rows", [8192, 90])
@@ -29,6 +24,8 @@ def test_top_k_equals_brute_force(spark, shard_rows):
     rng = np.random.default_rng(5)
     rows = [(i, rng.standard_normal(8).round(2).tolist()) for i in range(420)]
     rows += [(500, rows[3][1]), (501, rows[3][1]), (502, rows[3][1]), (600, [1.0, 2.0]), (601, [2.0, 1.0]), (700, None), (None, [1.0] * 8), (701, []), (702, [float("nan")] * 8), (703, [None] * 8), (800, [1e30] * 8), (7, rows[7][1])]
+    # Repeated ids with other vectors, of a query too, and large components.
+    rows += [(8, [9.0] * 8), (8, [9.0] * 8), (100, [-3.0] * 8), (9, [40_000.0, 2.0] * 4), (900, [40_000.0, 1.0] * 4), (901, [-1e7] * 8)]
     table = spark.createDataFrame([(i, v, 1, "s") for i, v in rows], "vec_id long, embedding array<double>, label int, shard string")
     got = top_k(table.filter("vec_id % 100 = 0"), table, 10, shard_rows=shard_rows, block_rows=3).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 10)
@@ -45,7 +42,7 @@ def test_branches_are_cut():
     calls = []
     plain = tree.scores
     tree.scores = lambda *a: calls.append(1) or plain(*a)
-    got = tree.search(np.array([-1]), points[:1], 5, np.array([-(1 << 62)]), False)
+    got = tree.search(np.array([-1]), points[:1], 5, np.array([-(1 << 63)]), False)
     want = sorted(((-int(s), i) for i, s in enumerate(points @ points[0])))[:5]
     assert sorted((-s, i) for _, i, s in got) == want and len(calls) < len(tree.spans) / 6
 
