@@ -100,3 +100,30 @@ def test_labeller_on_pages_it_has_not_seen():
             right += (labeller.label([blocks], {})[0] == (labels > 0)).sum()
             total += len(labels)
     assert right / total > 0.96
+
+
+HARD = ["<b" * 200_000, '<a "' * 200_000, '<a "><b" ' * 60_000 + '"', "".join(f'<div class="c{i}">t' for i in range(20_000)), "<b>" * 20_000 + "</x><h1></h1>" * 20_000, "<p><div>" + "<b>" * 20_000 + "<h1>x</h1>" * 20_000, "<svg></sv" * 50_000, "<!-" * 200_000]
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for page in HARD:
+        began = time.perf_counter()
+        htmlparse.blocks_of(page)
+        assert time.perf_counter() - began < 10, page[:20]
+
+
+def test_hand_written_page():
+    """A page that ``htmlpages`` has not made, with other names and nesting."""
+    page = """<!DOCTYPE html><html><head><title>t</title><style>p > a {}</style></head><body><header><a href="/">Home</a></header>
+<nav><ul><li><a href=/a>News</a><li><a href="/b">Sport</a></ul></nav><main><article><h1>Rain in the north</h1>
+<p>Rain fell on the northern hills for three days &amp; the river rose by a metre, the council said on Monday.</p>
+<p>Roads near the old bridge stay closed until the water has gone down, and schools open again on Thursday.</p></article></main>
+<footer><p>&copy; 2024 Example</p></footer><script>if (a < b) { x("</p>") }</script></body></html>"""
+    (text,) = extraction.extract_pages([page], extraction.trained())
+    assert text.split("\n\n") == [
+        "Rain in the north",
+        "Rain fell on the northern hills for three days & the river rose by a metre, the council said on Monday.",
+        "Roads near the old bridge stay closed until the water has gone down, and schools open again on Thursday.",
+    ]
