@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, plus strings that a randomness battery takes for keys.
 
 Native: everything is DataFrame expressions.  Matches get their places by marking
-them in the text with two control characters and summing the lengths of the parts.
+them in the text with two control characters and summing the lengths of the parts,
+by doubling steps, so that a text of many spans takes little more than its length.
 
 Base spans come from three patterns (assignments, access keys, hex runs).  The
 battery looks at every maximal run of key characters that has digits or mixed
@@ -24,6 +25,7 @@ bounded by encodings x length classes, reach the driver.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,20 +53,49 @@ ENCODINGS = {
 EXCESS, CHANGES = 0.7, 0.1
 VETO, GRID, LOWEST = 3.3, 8, 16
 
-Span = "struct<a:int,b:int,s:string>"
+#: An array holds fewer than 2^STEPS elements.
+STEPS = 31
+
+
+def _running(x: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under ``join``, in log2(size) passes: no pass copies what another has built."""
+
+    def step(x: Column, k: int) -> Column:
+        whole = F.array(x)
+        return F.get(F.transform(whole, lambda v: F.when(F.size(v) > 1 << k, F.transform(v, lambda y, i: F.when(i < 1 << k, y).otherwise(join(F.get(v, i - (1 << k)), y)))).otherwise(v)), F.lit(0))
+
+    for k in range(STEPS):
+        x = step(x, k)
+    return x
 
 
 def _found(text: Column, pattern: str, hint: Column) -> Column:
     """Array of (start, end, match) of all matches, leftmost first and disjoint."""
     parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0002"), "[\u0001\u0002]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(f"array<{Span}>").alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("a"), end.alias("b"), part.alias("s"))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(parts: Column) -> Column:
+        ends = _running(F.transform(parts, lambda p: F.length(p)), lambda a, b: a + b)
+        return F.get(F.transform(F.array(ends), lambda e: F.filter(F.transform(parts, lambda p, i: span(p, i, e)), lambda s: s.isNotNull())), F.lit(0))
+
+    def span(part: Column, i: Column, ends: Column) -> Column:
+        return F.when(i % 2 == 1, F.struct((F.get(ends, i) - F.length(part)).alias("a"), F.get(ends, i).alias("b"), part.alias("s")))
+
+    none = F.array().cast("array<struct<a:int,b:int,s:string>>")
+    return F.when(hint, F.get(F.transform(F.array(parts), spans), F.lit(0))).otherwise(none)
+
+
+def _free(runs: Column, base: Column) -> Column:
+    """The runs that overlap no base span: before the end of a run, no base span begins that ends behind its start."""
+    starts = F.transform(base, lambda s: F.struct(s["a"].alias("at"), F.lit(1).alias("o"), s["b"].alias("end"), F.lit(None).cast("struct<a:int,b:int,s:string>").alias("run")))
+    asked = F.transform(runs, lambda m: F.struct(m["b"].alias("at"), F.lit(0).alias("o"), F.lit(0).alias("end"), m.alias("run")))
+    events = F.array_sort(F.concat(starts, asked))
+
+    def kept(e: Column) -> Column:
+        ends = _running(F.transform(e, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        clear = lambda x, i, r: F.when(x["run"].isNotNull() & (F.get(r, i) <= x["run"]["a"]), x["run"])
+        return F.get(F.transform(F.array(ends), lambda r: F.filter(F.transform(e, lambda x, i: clear(x, i, r)), lambda m: m.isNotNull())), F.lit(0))
 
-    return F.when(hint, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{Span}>"))
+    return F.when(F.size(base) == 0, runs).when(F.size(runs) == 0, runs).otherwise(F.get(F.transform(F.array(events), kept), F.lit(0)))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -140,8 +171,8 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rate: floa
         return F.struct(m["a"].alias("a"), m["b"].alias("b"), stratum.alias("stratum"), _p_value(m["s"], alphabet).alias("p"))
 
     base = F.concat(plain("assign"), plain("access"), plain("hex"))
-    free = F.filter("runs", lambda m: ~F.exists("base", lambda s: (s["a"] < m["b"]) & (m["a"] < s["b"])))
-    tests = spans.select("doc_id", F.array_sort(base).alias("base"), "runs").select("doc_id", "base", F.transform(free, tested).alias("tests"))
+    tests = spans.select("doc_id", F.array_sort(base).alias("base"), "runs")
+    tests = tests.select("doc_id", "base", F.transform(_free(F.col("runs"), F.col("base")), tested).alias("tests"))
     tests = scratch.table(tests, "tests")
 
     step = F.least(F.floor(-F.log10(F.greatest(F.col("t.p"), F.lit(10.0 ** -LOWEST))) * GRID), F.lit(LOWEST * GRID))

@@ -65,6 +65,19 @@ def test_base_spans_equal_brute_force(spark, make_docs):
     assert scan(make_docs([])).count() == 0
 
 
+def test_many_spans_in_one_text(spark, make_docs):
+    """60,000 hex runs in one text, each found at its place; random runs beside base spans are left to these."""
+    import random
+    import time
+
+    r = random.Random(9)
+    text = " ".join("%024x" % r.getrandbits(96) for _ in range(60_000)) + " token=Abcdefgh1234567890ABCDEF zz"
+    scan(make_docs([(1, text[:500])])).count()
+    began = time.perf_counter()
+    (row,) = scan(make_docs([(1, text)])).select(F.size("base").alias("n"), F.element_at("base", 60_000)["a"].alias("a"), F.size("random").alias("r")).collect()
+    assert (row.n, row.a, row.r) == (60_001, 25 * 59_999, 0) and time.perf_counter() - began < 60
+
+
 def test_random_strings_are_found_and_words_are_not(spark, make_docs):
     import random
 
