@@ -78,6 +78,8 @@ def _probe_order() -> np.ndarray:
 
 
 ORDER = _probe_order()
+#: Sets of fewer shingles are compared whenever they share a band.
+SMALL_SET = 64
 
 
 def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -132,7 +134,9 @@ def linked_forest(sets: list[np.ndarray], registers: np.ndarray, left: int, shar
         if not len(near):
             continue
         likely = estimate(registers[i], registers[near])
-        near = near[likely >= share - 0.2][np.argsort(-likely[likely >= share - 0.2], kind="stable")]
+        # Sketches of small sets fill many registers from few elements: these are always confirmed.
+        worth = (likely >= share - 0.2) | (low[near - begin] < SMALL_SET)
+        near = near[worth][np.argsort(-likely[worth], kind="stable")]
         for j in near.tolist():
             if root[i] == root[j]:
                 continue
@@ -143,7 +147,7 @@ def linked_forest(sets: list[np.ndarray], registers: np.ndarray, left: int, shar
     return edges
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", share: float = 0.75, group_bytes: int = 24_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", share: float = 0.75, group_bytes: int = 24_000_000, group_rows: int = 8192) -> DataFrame:
     """One row for each row of ``docs``: doc_id, node (md5 of the text), n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession, "neardup")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -167,7 +171,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     pairs = spread.join(hubs, ["band", "value"]).filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = connected(pairs, scratch, "clusters")
     members = clusters.join(texts.select("node", "low", "bytes"), "node")
-    groups = clusters.join(texts.select("node", "bytes"), "node").groupBy("root").agg(F.ceil((F.sum("bytes") + F.count("node") * 2 * REGISTERS) / group_bytes).cast("int").alias("groups"))
+    groups = clusters.join(texts.select("node", "bytes"), "node").groupBy("root").agg(
+        F.greatest(F.ceil((F.sum("bytes") + F.count("node") * 2 * REGISTERS) / group_bytes), F.ceil(F.count("node") / group_rows)).cast("int").alias("groups")
+    )
     members = scratch.table(members.join(groups, "root").withColumn("part", F.pmod(F.xxhash64("node"), "groups").cast("int")).drop("bytes"), "members")
 
     # Every member goes to the tasks of its group with each group of the cluster.
@@ -207,7 +213,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", share: float = 0.75) -> DataFrame:
-    """The rows of ``docs`` that represent their group (smallest key), unchanged."""
-    found = near_duplicates(docs, key=key, text=text, share=share).filter("doc_id != component_id").select("doc_id", "node").distinct()
+    """The rows of ``docs`` that represent their group (smallest key), unchanged.
+
+    Rows without a key go if their group has a row with one, else they stay; rows that
+    repeat the smallest key stay.
+    """
+    others = (F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())
+    found = near_duplicates(docs, key=key, text=text, share=share).filter(others).select("doc_id", "node").distinct()
     node = F.unhex(F.md5(F.coalesce(F.col(f"d.{text}").cast("string"), F.lit(""))))
-    return docs.alias("d").join(found.alias("f").hint("shuffle_hash"), (F.col(f"d.{key}") == F.col("f.doc_id")) & (node == F.col("f.node")), "left_anti")
+    same = F.col(f"d.{key}").cast("long").eqNullSafe(F.col("f.doc_id")) & (node == F.col("f.node"))
+    return docs.alias("d").join(found.alias("f").hint("shuffle_hash"), same, "left_anti")

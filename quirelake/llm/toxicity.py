@@ -355,7 +355,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, most
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     # The limits bound what is broadcast; the texts are never shuffled.
     chosen = [known.filter(F.col("toxic") == label).orderBy(*order).limit(most) for label, most in ((1, most_toxic), (0, most_clean))]
-    rows = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").collect()
+    found = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    # One row for each key, whatever is repeated: that bounds what the driver gets.
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (-r["toxic"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
     return [(r["text"].encode("utf-8", "surrogatepass"), r["toxic"]) for r in rows]
 
