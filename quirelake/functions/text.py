@@ -13,27 +13,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _unaccent_pairs() -> tuple[str, str]:
-    """Characters from U+00A0 to U+024F that decompose to one base letter and marks, and that letter."""
-    source, target = [], []
-    for code in range(0xA0, 0x250):
-        base = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0] != chr(code):
-            source.append(chr(code))
-            target.append(base[0])
-    return "".join(source), "".join(target)
-
-
-ACCENTED, PLAIN = _unaccent_pairs()
+#: Blocks that hold all characters with a decomposition but Hangul syllables, whose parts are no letters of ours.
+BLOCKS = [(0xA0, 0x33FF), (0xA69C, 0xABFF), (0xF900, 0xFFEF), (0x10780, 0x107BA), (0x1D400, 0x1D7FF), (0x1E030, 0x1E06D), (0x1EE00, 0x1EEFF), (0x1F100, 0x1F2FF), (0x1FBF0, 0x1FBF9), (0x2F800, 0x2FA1F)]
+
+
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Compatibility decompositions without marks: to one character, and to none or several."""
+    single, several = {}, {}
+    for low, high in BLOCKS:
+        for code in range(low, high + 1):
+            c = chr(code)
+            plain = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
+            if plain != c and not unicodedata.combining(c):
+                (single if len(plain) == 1 else several)[c] = plain
+    return single, several
+
+
+def _class(codes: list[int]) -> str:
+    """A character class of code points, as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(codes):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+SINGLE, SEVERAL = _decompositions()
+ACCENTED, PLAIN = "".join(SINGLE), "".join(SINGLE.values())
+SEVERAL_CLASS = _class([ord(c) for c in SEVERAL])
+#: Ranges that hold all of them, for a first look.
+SEVERAL_NEAR = r"[\xA8-\xBE\u0132-\u0149\u01C4-\u01F3\u02D8-\x{10FFFF}]"
 #: Invisible characters that a scan drops, and look-alike letters with what they stand for (fixed values).
-INVISIBLE = "­​‌‍⁠﻿‪‫‬‭‮⁦⁧⁨⁩"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 LOOK_ALIKE = "аеіοорсхуΑΒΕΙΟΡΧ"
 LOOKS_LIKE = "aeioopcxyabeiopx"
 SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]+"
 
 
 def unaccent(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}", "")
+    """Compatibility decomposition without combining marks, of whatever script but Hangul."""
+    one = F.translate(text, ACCENTED, PLAIN)
+    # Ligatures, fractions and the like stand for several characters.  Few texts have any, so these alone are taken apart.
+    some = one.rlike(SEVERAL_NEAR) & (F.length(F.translate(one, "".join(SEVERAL), "")) < F.length(one))
+    table = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{d}" for c, d in SEVERAL.items())), F.lit("\u0001"), F.lit("\u0002"))
+    parts = F.split(one, f"(?<={SEVERAL_CLASS})|(?={SEVERAL_CLASS})", -1)
+    full = F.array_join(F.transform(parts, lambda p: F.coalesce(F.when(F.length(p) == 1, F.try_element_at(table, p)), p)), "")
+    return F.regexp_replace(F.when(some, full).otherwise(one), r"\p{Mn}", "")
 
 
 def lexical_tokens(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
+
 from .text import hash_bucket
 
 
@@ -26,7 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
 def hashed_bow(table: DataFrame, key: str, text: str, size: int = 128) -> DataFrame:
     """Non-zero entries of unit-length hashed bags of blank-separated lower-case words."""
     words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
-    counts = table.select(key, F.explode(words).alias("w")).groupBy(key, hash_bucket(F.col("w"), size).alias("bucket")).agg(F.count("*").alias("n"))
+    counts = spread(table.select(key, text)).select(key, F.explode(words).alias("w")).groupBy(key, hash_bucket(F.col("w"), size).alias("bucket")).agg(F.count("*").alias("n"))
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
     return counts.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
 

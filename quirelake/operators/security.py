@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import INVISIBLE, LOOK_ALIKE, LOOKS_LIKE, canonical_form
+from ..sources.spread import spread
 
 SEVERITIES = ["none", "low", "medium", "high", "critical"]
 ACTIONS = {"none": "proceed", "low": "proceed", "medium": "proceed_with_warning", "high": "human_review", "critical": "block"}
@@ -61,6 +62,14 @@ def canonical(text: str, collapse: bool = False) -> tuple[str, list[int]]:
     for i, c in enumerate(text):
         if c in _DROP:
             continue
+        if c < "\x80":  # nothing to decompose
+            if collapse and c.isspace():
+                if out and out[-1] == " ":
+                    continue
+                c = " "
+            out.append(c.lower())
+            place.append(i)
+            continue
         for d in unicodedata.normalize("NFKD", c.translate(_SWAP)):
             if unicodedata.combining(d):
                 continue
@@ -141,8 +150,8 @@ def html_comments(pages: DataFrame, *, key: str = "page_id", text: str = "html")
 
 def findings(pages: DataFrame, *, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
     """All rule matches on single pages and across page boundaries."""
-    w = Window.partitionBy(doc).orderBy(page)
-    rows = pages.select(F.col(doc).alias("doc"), F.col(page).cast("int").alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = spread(pages.select(doc, page, text))
+    rows = rows.select(F.col(doc).alias("doc"), F.col(page).cast("int").alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     w = Window.partitionBy("doc").orderBy("page")
     rows = rows.withColumn("next", F.lead("text").over(w)).withColumn("next_page", F.lead("page").over(w))
     seam = F.concat(F.substring("text", -BOUNDARY, BOUNDARY), F.lit("\n"), F.substring("next", 1, BOUNDARY))
@@ -163,6 +172,20 @@ def findings(pages: DataFrame, *, doc: str = "doc_id", page: str = "page_no", te
     return found.withColumnRenamed("doc", doc)
 
 
+def hidden_findings(pages: DataFrame, *, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """Findings of what a page hides: base64 blocks and HTML comments whose text breaks a strong rule."""
+    base = pages.select(F.col(doc), F.col(page).cast("int").alias("page"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+
+    def found(pattern: str, rule: str, form: Callable[[Column], Column]) -> DataFrame:
+        rows = base.filter(F.col("__text").rlike(pattern)).select(doc, "page", F.explode(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).alias("quote"))
+        rows = rows.withColumn("severity", strongest(canonical_form(form(F.col("quote"))))).filter(F.col("severity").isin("high", "critical"))
+        fixed = [F.lit(rule).alias("rule_id"), F.lit("obfuscation").alias("category"), "severity", F.lit(0.99).alias("confidence")]
+        return rows.select(doc, "page", F.col("page").alias("page_end"), *fixed, F.substring("quote", 1, 1000).alias("quote"))
+
+    encoded = found(BASE64, "base64_payload", lambda q: _decoded(q).cast("string"))
+    return encoded.unionByName(found(COMMENT, "html_comment_payload", lambda q: q))
+
+
 def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity) - 1
 
@@ -191,15 +214,14 @@ def mask(text: str, quotes: list[str]) -> str:
         wanted = canonical(quote, collapse=True)[0].strip()
         if not wanted:
             continue
-        at = 0
-        while True:
-            form, place = canonical(text, collapse=True)
-            hit = form.find(wanted, at)
-            if hit < 0:
-                break
-            a, b = place[hit], place[hit + len(wanted) - 1] + 1
-            text = text[:a] + MASK + text[b:]
-            at = hit + len(MASK)
+        form, place = canonical(text, collapse=True)
+        kept, done = [], 0
+        hit = form.find(wanted)
+        while hit >= 0:
+            kept += [text[done : place[hit]], MASK]
+            done = place[hit + len(wanted) - 1] + 1
+            hit = form.find(wanted, hit + len(wanted))
+        text = "".join([*kept, text[done:]])
     return text
 
 
