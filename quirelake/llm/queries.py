@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
+
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
@@ -14,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table over all cores, also where it comes in one small file."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -35,34 +42,34 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
-    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate(_spread(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents"), length="n_chars")
+    return remove_repeats(_spread(spark, sf_dir, "documents"), length="n_chars")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
     fold = fold_of("doc_id", 7)
-    return score(_table(spark, sf_dir, "documents"), fold != 2, fold == 5)
+    return score(_spread(spark, sf_dir, "documents"), fold != 2, fold == 5)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    found = near_duplicates(_spread(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, scored
 
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(spark, sf_dir, "documents")
     network = fit(docs, _table(spark, sf_dir, "labels"), fold_of("doc_id", 4) != 2)
     return scored(docs, network).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -77,13 +84,13 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extraction import extract
 
-    return extract(_table(spark, sf_dir, "pages"))
+    return extract(_spread(spark, sf_dir, "pages"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, listed, scan
 
-    found = scan(_table(spark, sf_dir, "documents"))
+    found = scan(_spread(spark, sf_dir, "documents"))
 
     def of_kind(n: int) -> Column:
         return F.size(F.filter("base", lambda s: s["k"] == n)).cast("long")
@@ -95,7 +102,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=END_ID)
+    return pack(_spread(spark, sf_dir, "documents"), tokenizer_path(), end_id=END_ID)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
