@@ -7,8 +7,10 @@ Three normal forms are kept apart because they differ in order and result:
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,3 +128,59 @@ def any_term(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
     for term in terms:
         found = found | F.contains(text, F.lit(term))
     return found
+
+
+def bounded_excerpt(text: Column, most: int = 600) -> Column:
+    """At most ``most`` characters; a longer text is cut after a whole word and gets an ellipsis."""
+    clean = collapse(F.coalesce(text, F.lit("")))
+    head = F.substring(clean, 1, most - 1)
+    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.regexp_replace(head, " [^ ]*$", ""), F.lit("…")))
+
+
+def chunk_quote(text: Column, most: int = 700) -> Column:
+    """A chunk without its line of the section name, on one line."""
+    return F.substring(collapse(F.regexp_replace(text, r"^\[[^\r\n]*\](?:\r?\n|$)", "")), 1, most)
+
+
+def article_of_unit(unit: Column) -> Column:
+    """The article of a unit identifier: what stands before the first unit marker (fixed values)."""
+    return F.regexp_replace(unit, r"(?s)-(?:caput|paragrafo-|inciso-|alinea-).*$", "")
+
+
+def escaped(text: Column) -> Column:
+    """Safe inside markup and attribute values."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def instructed(text: Column, instruction: str | None) -> Column:
+    """A text behind the instruction that an embedding model wants; no blank after a colon."""
+    prefix = (instruction or "").strip()
+    return F.concat(F.lit(prefix if prefix.endswith(":") else prefix + " "), text) if prefix else text
+
+
+def fingerprint(*parts: Column) -> Column:
+    """Identity of an index: its parts joined by colons, and the hash of that."""
+    joined = F.concat_ws(":", *parts)
+    return F.struct(joined.alias("parts"), F.sha2(joined, 256).alias("sha256"))
+
+
+def canonical_json_hash(document: Column) -> Column:
+    """sha-256 of a JSON text with sorted keys, no blanks and letters as they are; null if it is no JSON.
+
+    Key order inside nested objects is beyond the JSON functions, hence the Arrow function.
+    """
+
+    @F.pandas_udf("string")
+    def canonical(texts: pd.Series) -> pd.Series:
+        return texts.map(_sorted_json)
+
+    return F.sha2(canonical(document), 256)
+
+
+def _sorted_json(text: str | None) -> str | None:
+    try:
+        return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except ValueError:
+        return None
