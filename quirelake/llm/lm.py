@@ -11,8 +11,8 @@ distinct words of the block and its tokens as numbers.  Every block sends its
 distinct n-gram keys (64-bit hashes, sorted, packed) to the buckets of the key
 space, where the counts of all blocks meet and are sent back packed to the blocks
 that asked.  An n-gram thus crosses the network once per block, however frequent,
-so no key is hot; buckets are even because keys are hashes, and their number grows
-with the input.  Held-out events are counted on a logarithmic grid of the
+so no key is hot; buckets are even because keys are hashes.  The number of buckets
+and of the tasks of both shuffles grows with the input, so no task does.  Held-out events are counted on a logarithmic grid of the
 estimates, which is all that the driver gets.
 
 Defined cases: null and empty texts are the end token alone; null ids count as the
@@ -43,6 +43,7 @@ SENT = "bucket long, block long, kind int, n int, keys binary, counts binary"
 ANSWER = "block long, n int, bucket long, counts binary, types long, tokens long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 STEPS = 8  # of the grid in an octave
+TASK_BUCKETS, TASK_BLOCKS = 2, 4  # on average in a task of the two shuffles
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -213,19 +214,21 @@ def score(docs: DataFrame, training: Column, deleted: Column, *, key: str = "doc
     scratch = Scratch(docs.sparkSession, "lm")
     kind = F.when(training & deleted, F.lit(SLICE)).when(training, F.lit(BASE)).otherwise(F.lit(HELD_OUT))
     blocks = scratch.table(blocks_of(docs, kind, key=key, text=text), "blocks")
-    sums = {r["kind"]: r for r in blocks.groupBy("kind").agg(F.sum("n_keys").alias("tokens"), F.sum(F.size("doc_ids")).alias("documents")).collect()}
+    sums = {r["kind"]: r for r in blocks.groupBy("kind").agg(F.sum("n_keys").alias("tokens"), F.sum(F.size("doc_ids")).alias("documents"), F.count("*").alias("blocks")).collect()}
     of = lambda what, *kinds: sum(sums[k][what] for k in kinds if k in sums)
     bits = max(0, int(np.ceil(np.log2(max(1, order * of("tokens", HELD_OUT, SLICE, BASE)) / bucket_keys))))
 
+    by_bucket, by_block = max(1, 2**bits // TASK_BUCKETS), max(1, of("blocks", HELD_OUT, SLICE, BASE) // TASK_BLOCKS)
+
     sent = blocks.select("block", "kind", "doc_ids", "sizes", "hashes", "tokens").mapInArrow(_sent(order, bits), SENT)
-    answers = scratch.table(sent.groupBy("bucket").applyInArrow(_answered, ANSWER), "answers")
+    answers = scratch.table(sent.repartition(by_bucket, "bucket").groupBy("bucket").applyInArrow(_answered, ANSWER), "answers")
     types = answers.filter("block = -1 and n = 1").agg(F.sum("types")).first()[0] or 0
     corpus = Corpus(of("tokens", SLICE, BASE), types, of("documents", SLICE, BASE), of("tokens", SLICE), of("documents", SLICE))
     uniform = 1.0 / (types + 1)
 
     def with_answers(some: DataFrame) -> DataFrame:
-        own = answers.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "counts")).alias("answers"))
-        return some.join(own, "block")
+        own = answers.filter("block >= 0").repartition(by_block, "block").groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "counts")).alias("answers"))
+        return some.repartition(by_block, "block").join(own.hint("merge"), "block")
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
