@@ -215,7 +215,7 @@ SELECT o_orderkey AS case_id, CASE WHEN n = 0 THEN 0 ELSE round(r / n, 3) END AS
   SELECT o_orderkey, CAST(e1 IS NOT NULL AS INTEGER) + CAST(e2 IS NOT NULL AS INTEGER) + 0.0 AS n,
          CAST(coalesce(e1 = x1, FALSE) AS INTEGER) + CAST(coalesce(contains(x2, e2), FALSE) AS INTEGER) AS r,
          CAST(e1 IS NOT NULL AND x1 IS NOT NULL AS INTEGER) + CAST(e2 IS NOT NULL AND x2 IS NOT NULL AS INTEGER) AS f,
-         CASE WHEN o_orderkey % 4 <> 0 THEN CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END END AS label
+         CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderstatus = 'F' AS DOUBLE) END AS label
   FROM (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 2 END AS e1, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 2 END AS x1,
                CASE WHEN o_orderkey % 2 <> 0 THEN 'clerk' END AS e2, CASE WHEN o_orderkey % 7 <> 0 THEN 'the clerk ' || o_custkey END AS x2 FROM orders))
 """)
