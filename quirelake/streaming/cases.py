@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.consumer import INTAKE_TERMS, WISHES
@@ -52,6 +51,11 @@ def case_facts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("case_id").applyInPandasWithState(_step, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def put_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """One batch as one partition of a table, so a batch that is tried again replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
 def stage_progress(stages: DataFrame, path: str, checkpoint: str):
-    """Append each batch of stage rows to a progress table."""
-    return stages.writeStream.foreachBatch(lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).start()
+    """Put each batch of stage rows in a progress table; its column ``batch`` is the number of the batch."""
+    return stages.writeStream.foreachBatch(lambda rows, batch: put_batch(rows, path, batch)).option("checkpointLocation", checkpoint).start()

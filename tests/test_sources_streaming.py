@@ -65,3 +65,11 @@ def test_case_state():
     next(cases._step(("c",), iter([frame(("1", "Sofri um  golpe", 1))]), state))
     row = next(cases._step(("c",), iter([frame(("3", "Quero estorno", 3), ("2", None, 2))]), state)).iloc[0]
     assert (row.case_id, row.complaint_summary, row.issue_category, row.desired_resolution, row.messages) == ("c", "Sofri um golpe", "fraud", "Quero estorno", 3)
+
+
+def test_batch_tried_again_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "progress")
+    rows = spark.createDataFrame([("j", 1), ("j", 2)], "job_id string, stage_no int")
+    for batch in (0, 1, 1):
+        cases.put_batch(rows, path, batch)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("j", n, b) for n in (1, 2) for b in (0, 1)]
