@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.spread import spread
+from .oracles import lloyd_sql, merkle_sql
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: Clusters, rounds, components and seed of the embedding clustering.
+LLOYD = {"clusters": 8, "rounds": 10, "width": 64, "seed": "3:"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +108,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_spread(spark, sf_dir, "documents"), tokenizer_path(), end_id=END_ID)
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import lloyd, with_inertia
+
+    rows, found = lloyd(_table(spark, sf_dir, "embeddings"), **LLOYD)
+    return with_inertia(rows, found).withColumnRenamed("id", "vec_id")
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+
+    docs, fold = _spread(spark, sf_dir, "documents"), fold_of("doc_id", 4)
+    found = identify(docs, fit(docs, fold != 2))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    docs = _spread(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = manifest(docs, fields=["doc_id", "source", "lang", "n_chars", "text"], group="lang", key="doc_id", changed={"text": lower}, when=third)
+    return rows.withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -116,9 +144,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extraction": op8_extraction,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_clustering": op11_clustering,
+    "op12_language": op12_language,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
+    "op11_clustering": lloyd_sql(LLOYD["clusters"], LLOYD["rounds"], LLOYD["width"], LLOYD["seed"]),
+    "op13_merkle": merkle_sql(),
     "op6_top_k": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
