@@ -107,38 +107,60 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _encoding(run: Column) -> tuple[Column, Column]:
-    name = alphabet = F.lit(None).cast("string")
-    for label, characters in reversed(ENCODINGS.items()):
-        fits = F.length(F.translate(run, characters, "")) == 0
-        name, alphabet = F.when(fits, F.lit(label)).otherwise(name), F.when(fits, F.lit(characters)).otherwise(alphabet)
-    return name, alphabet
-
-
-def _p_value(run: Column, alphabet: Column) -> Column:
-    n, size = F.length(run).cast("double"), F.length(alphabet).cast("double")
-    characters = F.split(run, "")
-    characters = F.filter(characters, lambda c: F.length(c) > 0)
-    squares = F.aggregate(characters, F.lit(0.0), lambda acc, c: acc + (n - F.length(F.replace(run, c, F.lit("")))))
-    chi = size * squares / n - n
-    uneven = (chi - (size - 1)) / F.sqrt(2 * (size - 1))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _battery(run: Column) -> Column:
+    """struct(stratum, p) of a run; every step passes over the run once, or once for each character of its alphabet."""
+    alphabets = F.array(*[F.lit(a) for a in ENCODINGS.values()])
+    names = F.array(*[F.lit(n) for n in ENCODINGS])
+    first = F.coalesce(*[F.when(F.length(F.translate(run, a, "")) == 0, F.lit(i)) for i, a in enumerate(ENCODINGS.values())])
+
+    def encoded(e: Column) -> Column:
+        return _let(F.struct(F.get(names, e).alias("name"), F.get(alphabets, e).alias("alphabet"), F.length(run).cast("double").alias("n")), tested)
+
+    def tested(r: Column) -> Column:
+        stratum = F.concat_ws(":", r["name"], F.floor(F.log2(r["n"]) * 2).cast("string"))
+        places = F.transform(F.filter(F.split(run, ""), lambda c: F.length(c) > 0), lambda c: F.instr(r["alphabet"], c).cast("double"))
+        serial = _let(places, lambda x: _let(_total(x) / r["n"], lambda mean: _serial(x, mean, r["n"])))
+        return _let(_evenness(run, r["alphabet"], r["n"]), lambda e: F.struct(stratum.alias("stratum"), _p_value(e, _brokenness(run, r["n"]), serial).alias("p")))
+
+    return _let(first, encoded)
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+def _serial(x: Column, mean: Column, n: Column) -> Column:
+    """Size of the lag-one correlation of alphabet places, as a normal deviate; large for a constant."""
+    lagged = _total(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: (a - mean) * (b - mean)))
+    return _let(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)), lambda spread: F.when(spread > 0, F.abs(lagged / spread) * F.sqrt(n)).otherwise(F.lit(99.0)))
+
+
+def _evenness(run: Column, alphabet: Column, n: Column) -> Column:
+    """Deviates of the chi-squared statistic: above the uniform law, and below that of text."""
+    counts = F.transform(F.split(alphabet, ""), lambda c: n - F.length(F.replace(run, c, F.lit(""))))
+    size = F.length(alphabet).cast("double")
+    chi = size * F.aggregate(counts, F.lit(0.0), lambda a, v: a + v * v) / n - n
     as_text = (size - 1) + (n - 1) * EXCESS
-    even = (as_text - chi) / F.sqrt(2 * (size - 1) + 4 * (n - 1) * EXCESS)
+    return _let(chi, lambda c: F.struct(((c - (size - 1)) / F.sqrt(2 * (size - 1))).alias("uneven"), ((as_text - c) / F.sqrt(2 * (size - 1) + 4 * (n - 1) * EXCESS)).alias("even")))
+
 
+def _brokenness(run: Column, n: Column) -> Column:
+    """How much oftener than in text the class of characters changes, as a deviate."""
     classes = F.translate(run, string.digits + string.ascii_lowercase + string.ascii_uppercase + "+/-_", "0" * 10 + "a" * 26 + "A" * 26 + "-" * 4)
-    changes = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
+    for c in "0aA-":  # one character for each stretch of a class
+        classes = F.regexp_replace(classes, f"{c}{{2,}}", c)
     usual = (n - 1) * CHANGES
-    broken = (changes - usual) / F.sqrt(usual + 1)
+    return (F.length(classes) - 1 - usual) / F.sqrt(usual + 1)
 
-    x = F.transform(characters, lambda c: F.instr(alphabet, c).cast("double"))
-    total, power = F.aggregate(x, F.lit(0.0), lambda a, v: a + v), F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    mean = total / n
-    lagged = F.aggregate(F.zip_with(F.slice(x, 1, F.length(run) - 1), F.slice(x, 2, F.length(run) - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, v: a + v)
-    spread = power - n * mean * mean
-    serial = F.when(spread > 0, F.abs(lagged / spread) * F.sqrt(n)).otherwise(F.lit(99.0))
 
-    p = _upper_tail((even + broken) / F.sqrt(F.lit(2.0)))
-    return F.when((serial > VETO) | (uneven > VETO), F.lit(1.0)).otherwise(p)
+def _p_value(evenness: Column, broken: Column, serial: Column) -> Column:
+    veto = (evenness["uneven"] > VETO) | (serial > VETO)
+    return F.when(veto, F.lit(1.0)).otherwise(_let((evenness["even"] + broken) / F.sqrt(F.lit(2.0)), _upper_tail))
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rate: float = 0.01) -> DataFrame:
@@ -166,9 +188,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rate: floa
         return F.transform(F.col(kind), lambda m: F.struct(m["a"].alias("a"), F.lit(KINDS.index(kind)).alias("k"), m["b"].alias("b")))
 
     def tested(m: Column) -> Column:
-        name, alphabet = _encoding(m["s"])
-        stratum = F.concat_ws(":", name, F.floor(F.log2(F.length(m["s"])) * 2).cast("string"))
-        return F.struct(m["a"].alias("a"), m["b"].alias("b"), stratum.alias("stratum"), _p_value(m["s"], alphabet).alias("p"))
+        return _let(_battery(m["s"]), lambda t: F.struct(m["a"].alias("a"), m["b"].alias("b"), t["stratum"].alias("stratum"), t["p"].alias("p")))
 
     base = F.concat(plain("assign"), plain("access"), plain("hex"))
     tests = spans.select("doc_id", F.array_sort(base).alias("base"), "runs")

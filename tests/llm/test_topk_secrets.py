@@ -78,6 +78,54 @@ def test_many_spans_in_one_text(spark, make_docs):
     assert (row.n, row.a, row.r) == (60_001, 25 * 59_999, 0) and time.perf_counter() - began < 60
 
 
+def test_long_runs_take_time_in_proportion(spark, make_docs):
+    """Runs without digits-only alphabets reach the battery: one of a million characters, like an inline image."""
+    import base64
+    import random
+    import time
+
+    r = random.Random(12)
+    image = base64.b64encode(r.randbytes(750_000)).decode().rstrip("=")
+    flat = "Aa1" * 50_000
+    scan(make_docs([(1, "x " + image[:200])])).count()
+    began = time.perf_counter()
+    rows = scan(make_docs([(1, f"see {image} here"), (2, f"see {flat} here"), (3, " ".join(image[i : i + 30] for i in range(0, 600_000, 30)))])).collect()
+    assert time.perf_counter() - began < 90
+    found = {x.doc_id: x.random for x in rows}
+    assert [(s["a"], s["b"]) for s in found[1]] == [(4, 4 + len(image))] and not found[2]
+    assert len(found[3]) > 15_000
+
+
+def test_battery_equals_its_formulas(spark):
+    """Against the tests written out in Python."""
+    import random
+
+    from quirelake.llm import secrets as S
+
+    def brute(run):
+        name, alphabet = next((k, a) for k, a in S.ENCODINGS.items() if set(run) <= set(a))
+        n, size = len(run), len(alphabet)
+        chi = size * sum(run.count(c) ** 2 for c in alphabet) / n - n
+        uneven = (chi - (size - 1)) / math.sqrt(2 * (size - 1))
+        even = (size - 1 + (n - 1) * S.EXCESS - chi) / math.sqrt(2 * (size - 1) + 4 * (n - 1) * S.EXCESS)
+        kind = lambda c: 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+        broken = (sum(kind(a) != kind(b) for a, b in zip(run, run[1:])) - (n - 1) * S.CHANGES) / math.sqrt((n - 1) * S.CHANGES + 1)
+        x = [alphabet.index(c) + 1 for c in run]
+        mean = sum(x) / n
+        spread = sum((v - mean) ** 2 for v in x)
+        serial = abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread) * math.sqrt(n) if spread else 99
+        p = 1.0 if uneven > S.VETO or serial > S.VETO else math.erfc((even + broken) / 2) / 2
+        return f"{name}:{math.floor(math.log2(n) * 2)}", p
+
+    r = random.Random(1)
+    everything = [r.choices(a, k=r.randint(20, 90)) for a in S.ENCODINGS.values() for _ in range(6)]
+    texts = ["".join(c) for c in everything] + ["AnotherVeryLongCamelCaseIdentifierName", "a1" * 20, "1" * 30]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S._battery(F.col("t")).alias("b")).collect()
+    for row in got:
+        stratum, p = brute(row.t)
+        assert row.b.stratum == stratum and abs(row.b.p - p) < 1e-6, row.t
+
+
 def test_random_strings_are_found_and_words_are_not(spark, make_docs):
     import random
 
