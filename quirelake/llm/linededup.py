@@ -1,18 +1,20 @@
 """Removal of passages that repeat across documents.
 
-Native: everything is DataFrame expressions.  A text is cut into phrases, the lines of
-this operator: a phrase begins at a line or sentence that begins with a capital or a
-digit, and at a word whose first letter says so (``PHRASE``), so that phrases do not
-depend on what stands around a pasted passage.  Each phrase is hashed; a rolling hash over two phrases in a row chooses
-the chunk boundaries, at its local minima.  A boundary depends on four phrases only and
-there is one in every two to six, so a chunk spans several phrases and the boundaries
-inside a passage are the same in every document.
-
-Chunks only find passages (seeds).  Of a chunk that several documents hold, the
-document with the smallest key is the keeper.  From its chunks each other document is
-compared, phrase by phrase and in the outermost phrases word by word, with one and the
-same keeper; a stretch of ``min_words`` equal words or more is removed.  Only hashes are
-shuffled for all chunks; texts only where two chunks or one long chunk are equal.
+Native: everything is DataFrame expressions.  A text is cut into lines: at line breaks,
+at ends of sentences, and within longer ones by content, that is at blanks and inside
+long tokens where the characters around them fall into classes that a hash of their
+codes has dealt (``_dealt``).  So lines do not depend on what stands around a pasted
+passage, in any alphabet.  Each line is hashed; a rolling hash over two lines in a row
+chooses the chunk boundaries, at its local minima.  A boundary depends on four lines
+only and there is one in every two to six, so a chunk spans several lines and the
+boundaries inside a passage are the same in every document.
+
+Chunks only find passages (seeds), by the hash of all their bytes.  Of a chunk that
+several documents hold, the document with the smallest key is the keeper.  From its
+chunks each other document is compared, line by line and in the outermost lines word by
+word, with one and the same keeper; a stretch of whole lines of ``min_bytes`` bytes or
+more is removed, with the words of its outer lines that are equal too.  Only hashes are
+shuffled for all chunks; texts only where chunks are equal.
 
 Skew: frequent chunks are reduced where they are read; a chunk or passage that holds
 more than 1/4096 of the rows (so at most 4096 of them) is joined by a broadcast of its
@@ -25,7 +27,7 @@ Defined cases: null and empty texts stay as they are; a repeated document loses
 what it shares with the one of smallest key, and a document that loses all its
 words is dropped; rows with the same key count as one document; rows with a null
 key come after all others, by the hash of their text, and rows with the same key and
-text are one; phrases are equal if their bytes are, so text that is wrapped in another
+text are one; lines are equal if their bytes are, so text that is wrapped in another
 way is another text; other columns are returned as they are, whatever their names; an
 empty table gives an empty result; a text of any length is one row.
 """
@@ -39,17 +41,26 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: Where a phrase begins: at a line break or blank before one of these letters, about
-#: one word in four in languages of Latin letters, every word beyond those (U+0250 and
-#: up); every capital, so that a sentence begins a phrase.  The blank belongs to it.
-PHRASE = r"(?=[ \n][A-Z0-9dhlor\u0250-\uFFFF])"
+
+def _dealt(share: int, salt: int, rest: str) -> str:
+    """Characters of a regex class: ``share`` of 16 of the visible ones up to U+00FF, by a multiplicative hash of the code, and ``rest``."""
+    own = [c for c in range(0x21, 0x100) if (c * 2654435761 + salt * 0x9E3779B9 >> 11) % 16 < share]
+    return "".join(f"\\x{c:02x}" for c in own) + rest
+
+
+#: Beyond U+00FF: all characters, and half of the blocks of 64.
+_ALL = r"\x{100}-\x{10FFFF}"
+_HALF = "".join(f"\\x{{{c:x}}}-\\x{{{c + 63:x}}}" for c in range(0x100, 0x10000, 64) if not 0xD800 <= c < 0xE000 and (c * 2654435761 >> 17) % 2)
+#: Where a line begins: at a line break; at a blank after the end of a sentence, or between two characters of the classes.
+BREAK = rf"(?=\n)(?<=[^\n])|(?=[ \t])(?<=[.!?\u3002])|(?=[ \t][{_dealt(8, 1, _ALL)}])(?<=[{_dealt(9, 2, _ALL)}])"
+#: The same, and within tokens of more than 32 characters after three characters of a class.
+DENSE = rf"{BREAK}|(?<=[{(_c := _dealt(6, 3, _HALF))}][{_c}][{_c}])(?=\S)(?<=\S{{32}})"
+LONG_TOKEN = r"\S{33}"
 #: Where a word begins; the blanks before it belong to it.
 WORD = r"(?<=[^ \t\n\r])(?=[ \t\n\r])"
 BLANKS = " \t\n\r"
-#: Least characters, counted twice, of a phrase alone that is looked up.
-SEED_CHARS = 40
-#: Characters of its outer phrases, for each of ``min_words``, from which one equal chunk alone is compared.
-WORD_CHARS = 2
+#: Least bytes of a line that is a chunk by itself.
+LONE_BYTES = 20
 #: Phrases beyond the outermost equal chunks that are compared, and the grid of such pieces.
 REACH, GRID = 8, 16
 #: A key with more than one in so many rows is dealt over several tasks.
@@ -66,8 +77,8 @@ def _bare(word: Column) -> Column:
 
 
 def _phrases(text: Column) -> Column:
-    """Array of the phrases of a text; joined they give the text."""
-    return F.split(text, PHRASE, -1)
+    """Array of the lines of a text; joined they give the text."""
+    return F.when(text.rlike(LONG_TOKEN), F.split(text, DENSE, -1)).otherwise(F.split(text, BREAK, -1))
 
 
 def _words(text: Column) -> Column:
@@ -86,14 +97,10 @@ def _joined(parts: Column, start: Column, end: Column) -> Column:
 
 
 def chunk_marks(text: Column) -> Column:
-    """Array of struct(h hash, p first phrase, n phrases, l characters of the first and the last one) of the chunks of a text.
-
-    The hash is that of the number of phrases, the first two and the last two, which are
-    nearly always all; bytes are compared later.
-    """
+    """Array of struct(h hash of its bytes, p first line, n lines, l bytes) of the chunks of a text."""
 
     def of(p: Column) -> Column:
-        return _let(F.transform(p, lambda x: F.xxhash64(x)), lambda h: _let(cuts(h), lambda c: chunks(p, h, c)))
+        return _let(F.transform(p, lambda x: F.xxhash64(x)), lambda h: _let(cuts(h), lambda c: chunks(p, c)))
 
     def rolling(h: Column) -> Column:
         """Of each two phrases in a row; the next one comes in and the first goes out by one exclusive or each."""
@@ -104,14 +111,11 @@ def chunk_marks(text: Column) -> Column:
         least = _let(rolling(h), lambda r: F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)), i)))
         return F.concat(F.array(F.lit(0)), F.array_compact(least), F.array(F.size(h)))
 
-    def chunks(p: Column, h: Column, c: Column) -> Column:
+    def chunks(p: Column, c: Column) -> Column:
         def at(k: Column, j: Column) -> Column:
-            return _let(F.get(c, j + 1), lambda to: F.struct(
-                F.xxhash64(to - k, F.get(h, k), F.get(h, k + 1), F.get(h, to - 2), F.get(h, to - 1)).alias("h"), k.alias("p"), (to - k).alias("n"),
-                (F.length(F.get(p, k)) + F.length(F.get(p, to - 1))).alias("l"),
-            ))
+            return _let(F.get(c, j + 1), lambda to: F.when(to > k, _let(F.array_join(F.slice(p, k + 1, to - k), ""), lambda t: F.struct(F.xxhash64(t).alias("h"), k.alias("p"), (to - k).alias("n"), F.octet_length(t).alias("l")))))
 
-        return F.filter(F.transform(c, at), lambda x: x["n"] > 0)
+        return F.filter(F.transform(c, at), lambda x: x.isNotNull())
 
     return _let(_phrases(text), of)
 
@@ -123,16 +127,13 @@ def _equal_words(ours: Column, theirs: Column, at_end: bool) -> Column:
     return F.coalesce(_let(same, lambda s: F.coalesce(F.nullif(F.array_position(s, False), F.lit(0)) - 1, F.size(s).cast("long"))), F.lit(0)).cast("int")
 
 
-def _stretches(ours: Column, found: Column, min_words: int) -> Column:
+def _stretches(ours: Column, found: Column, min_bytes: int) -> Column:
     """Array of struct(s, e): from place s to before place e our words are those of a keeper.
 
     A place is struct(i phrase, w word in it).  ``found`` is an array of
-    struct(k text of the keeper, at phrase of ours where it begins).
+    struct(k lines of the keeper, at line of ours where they begin).
     """
 
-    def of(f: Column) -> Column:
-        return _let(F.struct(_phrases(f["k"]).alias("k"), f["at"].alias("at")), unequal)
-
     def unequal(x: Column) -> Column:
         def differs(i: Column) -> Column:
             return (i < 0) | (i == F.size(x["k"])) | ~F.coalesce(F.get(x["k"], i) == F.get(ours, i + x["at"]), F.lit(False))
@@ -151,21 +152,21 @@ def _stretches(ours: Column, found: Column, min_words: int) -> Column:
 
     def edges(r: Column) -> Column:
         before, after = F.get(ours, r["a"] - 1), F.get(ours, r["b"])
-        # Every phrase but the first of a text holds a word.
-        body = F.when(r["b"] - r["a"] > min_words, r["b"] - r["a"]).otherwise(F.size(_words(F.trim(_joined(ours, r["a"], r["b"]), F.lit(BLANKS)))))
+        body = F.octet_length(F.trim(_joined(ours, r["a"], r["b"]), F.lit(BLANKS)))
         value = F.struct(r["a"].alias("a"), r["b"].alias("b"), body.alias("n"), _equal_words(before, r["before"], True).alias("t"), _equal_words(after, r["after"], False).alias("h"))
-        return _let(value, lambda v: F.when(v["n"] + v["t"] + v["h"] >= min_words, place(v, before)))
+        return _let(value, lambda v: F.when(v["n"] >= min_bytes, place(v, before)))
 
     def place(v: Column, before: Column) -> Column:
+        # Up to three words of the sentence before or behind may be equal by chance.
         tail = F.when((v["t"] > 3) | ~_ends(before, F.get(ours, v["a"])), v["t"]).otherwise(0)
         head = F.when((v["h"] > 3) | ~_ends(F.get(ours, v["b"] - 1), F.get(ours, v["b"])), v["h"]).otherwise(0)
         first = F.when(tail > 0, F.struct((v["a"] - 1).alias("i"), (F.size(_words(before)) - tail).alias("w")))
         return F.struct(F.coalesce(first, F.struct(v["a"].alias("i"), F.lit(0).alias("w"))).alias("s"), F.struct(v["b"].alias("i"), head.alias("w")).alias("e"))
 
-    return F.filter(F.flatten(F.transform(found, of)), lambda r: r.isNotNull())
+    return F.filter(F.flatten(F.transform(found, unequal)), lambda r: r.isNotNull())
 
 
-def _without(text: Column, found: Column, min_words: int) -> Column:
+def _without(text: Column, found: Column, min_bytes: int) -> Column:
     """The text without the stretches that ``found`` shows; null if there are none."""
 
     def rest(p: Column, cuts: Column) -> Column:
@@ -182,11 +183,11 @@ def _without(text: Column, found: Column, min_words: int) -> Column:
         last = F.when(b["w"] > 0, _let(of(b["i"]), lambda w: _joined(w, F.lit(0), b["w"]))).otherwise("")
         return F.when(a >= b, "").when(a["i"] == b["i"], within).otherwise(F.concat(first, _joined(p, a["i"] + 1, b["i"]), last))
 
-    return _let(_phrases(text), lambda p: _let(F.array_sort(F.array_distinct(_stretches(p, found, min_words))), lambda cuts: rest(p, cuts)))
+    return _let(_phrases(text), lambda p: _let(F.array_sort(F.array_distinct(_stretches(p, found, min_bytes))), lambda cuts: rest(p, cuts)))
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 25, length: str | None = None) -> DataFrame:
-    """``docs`` without the passages of ``min_words`` words or more that a document of smaller key holds too.
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_bytes: int = 120, length: str | None = None) -> DataFrame:
+    """``docs`` without the passages of ``min_bytes`` bytes or more that a document of smaller key holds too.
 
     ``length`` names a column of ``docs`` to be set to the length of a changed text.
     """
@@ -194,7 +195,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     d = docs.alias("d")
     body, doc = F.col(f"d.`{text}`").cast("string"), F.col(f"d.`{key}`")
     chunks = d.filter(F.length(body) > 0).select(doc.alias("doc"), F.xxhash64(body).alias("row"), F.explode(chunk_marks(body)).alias("m"))
-    marks = scratch.table(chunks.select("doc", "row", "m.*").filter((F.col("n") > 1) | (F.col("l") >= SEED_CHARS)), "marks", hashes=("h",))
+    marks = scratch.table(chunks.select("doc", "row", "m.*").filter((F.col("n") > 1) | (F.col("l") >= LONE_BYTES)), "marks", hashes=("h",))
 
     # By hash: which chunks are held by several documents, and by which first.
     free = F.when(F.col("doc").isNull(), F.col("row"))
@@ -213,10 +214,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     both = pairs(marks.join(F.broadcast(repeated.filter(hot)), "h"), True).unionByName(pairs(marks.join(repeated.filter(~hot), "h"), False))
     low, high = F.min("q") - REACH, F.max(F.col("q") + F.col("n")) + REACH
     places = both.groupBy("doc", "row", "low", "krow", (F.col("p") - F.col("q")).alias("shift")).agg(
-        (F.floor(F.greatest(low, F.lit(0)) / GRID) * GRID).cast("int").alias("from"), (F.ceil(high / GRID) * GRID).cast("int").alias("to"), F.count("*").alias("chunks"), F.max("l").alias("l")
+        (F.floor(F.greatest(low, F.lit(0)) / GRID) * GRID).cast("int").alias("from"), (F.ceil(high / GRID) * GRID).cast("int").alias("to"), F.sum("l").alias("l")
     )
-    # One short chunk alone is too little: a passage of twice min_words holds several.
-    places = places.filter((F.col("chunks") > 1) | (F.col("l") >= WORD_CHARS * min_words)).drop("chunks", "l")
+    # Three quarters of a passage may lie in chunks that reach beyond it.
+    places = places.filter(F.col("l") >= min_bytes // 4).drop("l")
     places = scratch.table(places, "places")
 
     # By bytes: the keepers' texts at those places, once for each place, to the documents they are compared with.
@@ -226,7 +227,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     asked = asked.withColumn("lots", lots)
     spots = asked.groupBy("low", "krow").agg(F.collect_list(F.struct("from", "to", "lots")).alias("at")).alias("w")
     same = doc.eqNullSafe(F.col("w.low")) & (F.xxhash64(body) == F.col("w.krow"))
-    cut = _let(_phrases(body), lambda p: F.transform("w.at", lambda x: x.withField("k", _joined(p, x["from"], F.least(x["to"], F.size(p))))))
+    cut = _let(_phrases(body), lambda p: F.transform("w.at", lambda x: x.withField("k", F.slice(p, x["from"] + 1, x["to"] - x["from"]))))
     shown = d.join(spots.hint("shuffle_hash"), same).select("w.low", "w.krow", F.explode(cut).alias("x")).select("low", "krow", "x.*")
     shown = shown.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
     shown = scratch.table(shown, "shown")
@@ -240,7 +241,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     same = doc.eqNullSafe(F.col("g.doc")) & (F.xxhash64(body) == F.col("g.row"))
     joined = d.join(found.hint("shuffle_hash"), same, "left")
-    new = _let(F.when(F.col("g.found").isNotNull(), _without(body, F.col("g.found"), min_words)), lambda t: F.array(F.struct(F.coalesce(t, body).alias("t"), t.isNotNull().alias("changed"))))
+    new = _let(F.when(F.col("g.found").isNotNull(), _without(body, F.col("g.found"), min_bytes)), lambda t: F.array(F.struct(F.coalesce(t, body).alias("t"), t.isNotNull().alias("changed"))))
     # A generator computes the new text once; a row that has lost all its words gives none.
     rows = F.explode(F.filter(new, lambda x: ~x["changed"] | (F.length(_bare(x["t"])) > 0)))
     changed = joined.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns if c != text]).alias("rest"), rows.alias("new"))

@@ -76,7 +76,7 @@ def test_no_python_on_executors(spark, make_docs, corpus):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_chunks_span_several_phrases(spark, make_docs, corpus):
+def test_chunks_span_several_lines(spark, make_docs, corpus):
     """Boundaries are chosen by the rolling hash, not nearly everywhere."""
     from pyspark.sql import functions as F
 
@@ -115,3 +115,62 @@ def test_passages_pasted_mid_sentence(spark, make_docs):
     left = [i for i in range(60) if len(docs[1000 + i].split()) - len(got[1000 + i].split()) < len(passages[i].split()) - 6]
     # Known residue: 3 of 60 are left whole or in part (see README).
     assert len(left) <= 3
+
+
+def letters(r, n, alphabet="abcdefghijklmnopqrstuvwxyz"):
+    return " ".join("".join(r.choice(alphabet) for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+PROBES = {
+    "lower-case lines of four words": lambda r: "\n".join(letters(r, 4) for _ in range(40)),
+    "lower-case words": lambda r: letters(r, 200),
+    "sixty words": lambda r: letters(r, 60),
+    "Cyrillic words": lambda r: letters(r, 60, "абвгдежзиклмнопрстуфхцчшщыэюя"),
+    "CJK lines": lambda r: "\n".join("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(60)) for _ in range(10)),
+    "one CJK line": lambda r: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(600)),
+    "hex": lambda r: "".join(r.choice("0123456789abcdef") for _ in range(3000)),
+    "code": lambda r: "\n".join("    " * r.randint(0, 3) + f"{letters(r, 1)} = {letters(r, 1)}({r.randint(0, 99)});" for _ in range(40)),
+    "a menu": lambda r: "\n".join(letters(r, 1).capitalize() for _ in range(28)),
+}
+
+
+def test_passages_of_any_alphabet(spark, make_docs):
+    """Each passage stands between other words in two documents, a menu in thirty."""
+    r, docs, of = random.Random(21), {}, {}
+    for name, make in PROBES.items():
+        passage, gap = make(r), "\n" if "\n" in make(r) else " "
+        for n in range(30 if name == "a menu" else 2):
+            of[len(docs)] = (name, n, passage)
+            docs[len(docs)] = letters(r, 30) + gap + passage + gap + letters(r, 30)
+    got = rows_of(remove_repeats(make_docs(docs)))
+    for i, (name, n, passage) in of.items():
+        gone = (len(docs[i]) - len(got[i])) / len(passage)
+        assert gone == 0 if n == 0 else gone > 0.9, (name, n, gone)
+
+
+def test_against_brute_force(spark, make_docs):
+    """All windows of words: what goes stands in a document of smaller key, and no long passage stays twice."""
+    import difflib
+
+    r = random.Random(22)
+    passages = [letters(r, r.randint(60, 140)) for _ in range(25)]
+    docs = {}
+    for i in range(120):
+        parts = [letters(r, r.randint(5, 60))]
+        for _ in range(r.randint(0, 3)):
+            parts += [r.choice(passages), letters(r, r.randint(5, 60))]
+        docs[i] = r.choice([" ", "\n", ". "]).join(parts)
+    got = rows_of(remove_repeats(make_docs(docs)))
+    windows = lambda t, n: {tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)}
+    before: set = set()
+    left = 0
+    for i in sorted(docs):
+        words, kept = docs[i].split(), got.get(i, "").split()
+        blocks = difflib.SequenceMatcher(None, words, kept, autojunk=False).get_opcodes()
+        for kind, a, b, _, _ in blocks:
+            assert kind in ("equal", "delete")
+            if kind == "delete":
+                assert any(" ".join(words[a:b]) in " ".join(docs[j].split()) for j in range(i)), i
+        left += bool(windows(got.get(i, ""), 50) & before)
+        before |= windows(docs[i], 50)
+    assert left == 0
