@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import money, text, vectors
 from ..operators import chunking, consumer, metrics, records, retrieval, security
+from ..operators.prefix import running_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,8 +201,8 @@ def merge_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, doc_id, CAST(2500 + sum(length(text) + 7) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS used, 2500 + sum(length(text) + 7) OVER (PARTITION BY source ORDER BY doc_id) <= 12000 AS included FROM documents
 """)
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return retrieval.within_budget(docs, group="source", order=["doc_id"], length=F.length("text") + 7, used=F.lit(2500), most=12_000).select("source", "doc_id", "used", "included")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", (F.length("text") + 7).alias("length"))
+    return retrieval.within_budget(docs, group="source", order=["doc_id"], length=F.col("length"), used=F.lit(2500), most=12_000).select("source", "doc_id", "used", "included")
 
 
 @register("""
@@ -587,8 +588,9 @@ def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, CAST(n AS INTEGER) AS page_no, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
 """)
 def page_renumbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_no"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id")
+    rows = running_totals(docs, group=F.col("source"), order=[F.col("doc_id")], size=F.lit(1), total="page_no")
+    return rows.select("source", F.col("page_no").cast("int").alias("page_no"), "doc_id")
 
 
 # Statutes, languages, documents.
