@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import bound
 from ..functions.text import INVISIBLE, LOOK_ALIKE, LOOKS_LIKE, canonical_form
 from ..sources.spread import spread
 
@@ -130,8 +131,7 @@ def _decoded(block: Column) -> Column:
 def encoded_payloads(pages: DataFrame, *, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
     """Base64 blocks whose text breaks a strong rule: doc, page, severity, quote."""
     blocks = pages.select(doc, page, F.explode(F.regexp_extract_all(text, F.lit(BASE64), F.lit(0))).alias("quote"))
-    inside = canonical_form(_decoded(F.col("quote")).cast("string"))
-    severity = strongest(inside)
+    severity = bound(canonical_form(_decoded(F.col("quote")).cast("string")), strongest)
     return blocks.withColumn("severity", severity).filter(F.col("severity").isin("high", "critical"))
 
 
@@ -153,22 +153,28 @@ def findings(pages: DataFrame, *, doc: str = "doc_id", page: str = "page_no", te
     rows = spread(pages.select(doc, page, text))
     rows = rows.select(F.col(doc).alias("doc"), F.col(page).cast("int").alias("page"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     w = Window.partitionBy("doc").orderBy("page")
-    rows = rows.withColumn("next", F.lead("text").over(w)).withColumn("next_page", F.lead("page").over(w))
-    seam = F.concat(F.substring("text", -BOUNDARY, BOUNDARY), F.lit("\n"), F.substring("next", 1, BOUNDARY))
-    rows = rows.withColumn("seam", F.when(F.col("next").isNotNull(), seam)).withColumn("edge", F.least(F.length("text"), F.lit(BOUNDARY)))
-    touched = (strongest(canonical_form(F.col("text"))) != "none") | (strongest(canonical_form(F.col("seam"))) != "none")
+    # Only the two ends of each page meet those of its neighbour; whole texts are not shuffled.
+    ends = rows.select("doc", "page", F.substring("text", 1, BOUNDARY).alias("head"), F.substring("text", -BOUNDARY, BOUNDARY).alias("tail"))
+    ends = ends.withColumns({"next": F.lead("head").over(w), "next_page": F.lead("page").over(w)}).filter("next IS NOT NULL")
+    seams = ends.select("doc", "page", "next_page", F.concat("tail", F.lit("\n"), "next").alias("seam"), F.length("tail").alias("edge"))
+    touched = lambda c: bound(canonical_form(F.col(c)), strongest) != "none"
+    none = lambda kind: F.lit(None).cast(kind)
+    own = rows.filter(touched("text")).select("doc", "page", none("int").alias("next_page"), "text", none("string").alias("seam"), none("int").alias("edge"))
+    crossing = seams.filter(touched("seam")).select("doc", "page", "next_page", none("string").alias("text"), "seam", "edge")
+    rows = own.unionByName(crossing)
     kind = pages.schema[doc].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                out += [(r.doc, r.page, r.page, *f) for f in scan_text(r.text)]
-                if isinstance(r.seam, str):
+                if isinstance(r.text, str):
+                    out += [(r.doc, r.page, r.page, *f) for f in scan_text(r.text)]
+                else:
                     out += [(r.doc, r.page, int(r.next_page), *f) for f in scan_text(r.seam, straddles=int(r.edge), strong_only=True)]
             yield pd.DataFrame(out, columns=["doc", "page", "page_end", "rule_id", "category", "severity", "confidence", "quote"])
 
-    found = rows.filter(touched).select("doc", "page", "next_page", "text", "seam", "edge").mapInPandas(scan, f"doc {kind}, {FINDING}")
+    found = rows.mapInPandas(scan, f"doc {kind}, {FINDING}")
     return found.withColumnRenamed("doc", doc)
 
 
@@ -178,7 +184,7 @@ def hidden_findings(pages: DataFrame, *, doc: str = "doc_id", page: str = "page_
 
     def found(pattern: str, rule: str, form: Callable[[Column], Column]) -> DataFrame:
         rows = base.filter(F.col("__text").rlike(pattern)).select(doc, "page", F.explode(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).alias("quote"))
-        rows = rows.withColumn("severity", strongest(canonical_form(form(F.col("quote"))))).filter(F.col("severity").isin("high", "critical"))
+        rows = rows.withColumn("severity", bound(canonical_form(form(F.col("quote"))), strongest)).filter(F.col("severity").isin("high", "critical"))
         fixed = [F.lit(rule).alias("rule_id"), F.lit("obfuscation").alias("category"), "severity", F.lit(0.99).alias("confidence")]
         return rows.select(doc, "page", F.col("page").alias("page_end"), *fixed, F.substring("quote", 1, 1000).alias("quote"))
 
