@@ -9,7 +9,7 @@ chooses the chunk boundaries, at its local minima.  A boundary depends on four l
 only and there is one in every two to six, so a chunk spans several lines and the
 boundaries inside a passage are the same in every document.
 
-Chunks only find passages (seeds), by the hash of all their bytes.  Of a chunk that
+Chunks only find passages (seeds), by the hash of all their lines' hashes.  Of a chunk that
 several documents hold, the document with the smallest key is the keeper.  From its
 chunks each other document is compared, line by line and in the outermost lines word by
 word, with one and the same keeper; a stretch of whole lines of ``min_bytes`` bytes or
@@ -52,10 +52,10 @@ def _dealt(share: int, salt: int, rest: str) -> str:
 _ALL = r"\x{100}-\x{10FFFF}"
 _HALF = "".join(f"\\x{{{c:x}}}-\\x{{{c + 63:x}}}" for c in range(0x100, 0x10000, 64) if not 0xD800 <= c < 0xE000 and (c * 2654435761 >> 17) % 2)
 #: Where a line begins: at a line break; at a blank after the end of a sentence, or between two characters of the classes.
-BREAK = rf"(?=\n)(?<=[^\n])|(?=[ \t])(?<=[.!?\u3002])|(?=[ \t][{_dealt(8, 1, _ALL)}])(?<=[{_dealt(9, 2, _ALL)}])"
-#: The same, and within tokens of more than 32 characters after three characters of a class.
-DENSE = rf"{BREAK}|(?<=[{(_c := _dealt(6, 3, _HALF))}][{_c}][{_c}])(?=\S)(?<=\S{{32}})"
-LONG_TOKEN = r"\S{33}"
+BREAK = rf"(?=[ \t\n])(?:(?<=[{_dealt(9, 2, _ALL)}.!?\u3002])(?=[ \t][{_dealt(8, 1, _ALL)}])|(?<=[.!?\u3002])(?=[ \t])|(?=\n)(?<=[^\n]))"
+#: And within tokens of more than 32 characters: after three characters of a class.
+LONG_TOKEN, _SIGN = r"\S{33}", _dealt(6, 3, _HALF)
+WITHIN = rf"(?<=[{_SIGN}][{_SIGN}][{_SIGN}])(?=\S)(?<=\S{{32}})"
 #: Where a word begins; the blanks before it belong to it.
 WORD = r"(?<=[^ \t\n\r])(?=[ \t\n\r])"
 BLANKS = " \t\n\r"
@@ -78,7 +78,12 @@ def _bare(word: Column) -> Column:
 
 def _phrases(text: Column) -> Column:
     """Array of the lines of a text; joined they give the text."""
-    return F.when(text.rlike(LONG_TOKEN), F.split(text, DENSE, -1)).otherwise(F.split(text, BREAK, -1))
+    wide = lambda line: (F.octet_length(line) > 32) & line.rlike(LONG_TOKEN)
+
+    def finer(lines: Column) -> Column:
+        return F.flatten(F.transform(lines, lambda x: F.when(wide(x), F.split(x, WITHIN, -1)).otherwise(F.array(x))))
+
+    return _let(F.split(text, BREAK, -1), lambda lines: F.when(F.exists(lines, wide), finer(lines)).otherwise(lines))
 
 
 def _words(text: Column) -> Column:
@@ -97,10 +102,10 @@ def _joined(parts: Column, start: Column, end: Column) -> Column:
 
 
 def chunk_marks(text: Column) -> Column:
-    """Array of struct(h hash of its bytes, p first line, n lines, l bytes) of the chunks of a text."""
+    """Array of struct(h hash of its lines' hashes, p first line, n lines, l bytes of its outer lines) of the chunks of a text."""
 
     def of(p: Column) -> Column:
-        return _let(F.transform(p, lambda x: F.xxhash64(x)), lambda h: _let(cuts(h), lambda c: chunks(p, c)))
+        return _let(F.transform(p, lambda x: F.xxhash64(x)), lambda h: _let(cuts(h), lambda c: chunks(p, h, c)))
 
     def rolling(h: Column) -> Column:
         """Of each two phrases in a row; the next one comes in and the first goes out by one exclusive or each."""
@@ -111,9 +116,9 @@ def chunk_marks(text: Column) -> Column:
         least = _let(rolling(h), lambda r: F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)), i)))
         return F.concat(F.array(F.lit(0)), F.array_compact(least), F.array(F.size(h)))
 
-    def chunks(p: Column, c: Column) -> Column:
+    def chunks(p: Column, h: Column, c: Column) -> Column:
         def at(k: Column, j: Column) -> Column:
-            return _let(F.get(c, j + 1), lambda to: F.when(to > k, _let(F.array_join(F.slice(p, k + 1, to - k), ""), lambda t: F.struct(F.xxhash64(t).alias("h"), k.alias("p"), (to - k).alias("n"), F.octet_length(t).alias("l")))))
+            return _let(F.get(c, j + 1), lambda to: F.when(to > k, F.struct(F.xxhash64(F.slice(h, k + 1, to - k)).alias("h"), k.alias("p"), (to - k).alias("n"), (F.octet_length(F.get(p, k)) + F.when(to - k > 1, F.octet_length(F.get(p, to - 1))).otherwise(0)).alias("l"))))
 
         return F.filter(F.transform(c, at), lambda x: x.isNotNull())
 
