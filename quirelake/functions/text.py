@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bound
 
 #: Blocks that hold all characters with a decomposition but Hangul syllables, whose parts are no letters of ours.
 BLOCKS = [(0xA0, 0x33FF), (0xA69C, 0xABFF), (0xF900, 0xFFEF), (0x10780, 0x107BA), (0x1D400, 0x1D7FF), (0x1E030, 0x1E06D), (0x1EE00, 0x1EEFF), (0x1F100, 0x1F2FF), (0x1FBF0, 0x1FBF9), (0x2F800, 0x2FA1F)]
@@ -93,9 +94,13 @@ def canonical_form(text: Column) -> Column:
 
 def truncated(text: Column, most: int) -> Column:
     """At most ``most`` characters, cut back to the last blank if one is there."""
-    clean = collapse(F.coalesce(text, F.lit("")))
-    cut = F.substring(clean, 1, most)
-    return F.when(F.length(clean) <= most, clean).otherwise(F.when(F.contains(cut, F.lit(" ")), F.regexp_replace(cut, " [^ ]*$", "")).otherwise(cut))
+
+    def shortened(clean: Column) -> Column:
+        cut = F.substring(clean, 1, most)
+        # The last blank of the cut begins where the greedy prefix ends.
+        return F.when(F.length(clean) <= most, clean).otherwise(F.coalesce(F.nullif(F.regexp_extract(cut, r"(?s)^(.*) [^ ]*$", 1), F.lit("")), cut))
+
+    return bound(collapse(F.coalesce(text, F.lit(""))), shortened)
 
 
 def preview(text: Column, most: int = 240) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json, json_string
+
 # Fixed values.
 MOST_MONEY_REFERENCES, CAPUT, SENTENCE_FROM = 50, 700, 200
 ARTICLE_NUMBER = r"^Art\.\s*\d+(?:[º°])?(?:-[A-Z])?\.?(?:\s+|$)"
@@ -119,6 +121,20 @@ def corpus_digests(units: DataFrame, *, corpus: str, order: str, content: str) -
     return blocks.groupBy(corpus).agg(joined("b").alias("corpus_sha256"), F.sum("k").alias("units"))
 
 
+def canonical_corpus_sha256(provisions: DataFrame, *, corpus: str, position: str, content: str) -> DataFrame:
+    """sha-256 of the canonical JSON of each corpus: its release, and its provisions in order.
+
+    ``content`` is a struct column, nested as it likes; texts should stand in it by their
+    hashes.  Provisions are written as JSON where they lie; those of one corpus meet in one
+    row, which a hash over one document cannot avoid.  ``corpus_digests`` has no such bound.
+    """
+    kind = provisions.schema[content].dataType
+    rows = provisions.select(corpus, position, canonical_json(F.col(content), kind).alias("json"))
+    joined = rows.groupBy(corpus).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, "json"))), lambda x: x["json"]), ",").alias("all"), F.count("*").alias("provisions"))
+    payload = F.concat(F.lit('{"corpus_release_id":'), json_string(F.col(corpus).cast("string")), F.lit(',"provisions":['), "all", F.lit('],"schema_version":1}'))
+    return joined.select(corpus, F.sha2(payload, 256).alias("corpus_sha256"), "provisions")
+
+
 def chunk_totals(chunks: DataFrame, *, doc: str, section: str) -> DataFrame:
     """Chunks and distinct sections per document."""
     return chunks.groupBy(doc).agg(F.count("*").alias("chunks"), F.count_distinct(section).alias("sections"))

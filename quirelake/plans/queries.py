@@ -248,49 +248,6 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ranking_metrics(ranking.withColumnRenamed("vec_id", "item"), groups, 10)
 
 
-HITS = [("c1", 1, "cdc-42-par-1", "cdc-42", "active"), ("c1", 2, "cdc-42-par-1", "cdc-42", "active"), ("c1", 3, "cdc-18-caput", "cdc-18", "vetoed"), ("c1", 4, "cdc-6-inc-3", "cdc-6", None), ("c1", 5, "cdc-42-caput", "cdc-42", "active"), ("c2", 1, "neg-1-a", "neg", "active"), ("c2", 2, "cdc-49-caput", "cdc-49", "active")]
-JUDGED = [("c1", "cdc-42", "cdc-42-caput", 3), ("c1", "cdc-6", None, 2), ("c1", "cdc-35", None, 1), ("c2", "cdc-49", None, 3)]
-NEGATIVE = [("c1", "cdc-18"), ("c2", "neg-1")]
-CASES = [("c1", False), ("c2", False), ("c3", True)]
-
-
-@register(f"""
-WITH h AS {values("case_id, rank, unit_id, article_id, status", HITS)}, j AS (SELECT *, row_number() OVER () AS j FROM {values("case_id, article_id, unit_id, grade", JUDGED)}),
-u AS (SELECT case_id, unit_id, article_id, min(rank) AS rank FROM h WHERE rank <= 5 GROUP BY ALL),
-m AS (SELECT j.case_id, j.j, j.grade, min(u.rank) AS rank FROM u JOIN j ON u.case_id = j.case_id AND (u.unit_id = j.unit_id OR (j.unit_id IS NULL AND u.article_id = j.article_id)) GROUP BY ALL),
-g AS (SELECT case_id, rank, max(grade) AS grade, count(*) AS n FROM m GROUP BY ALL),
-p AS (SELECT case_id, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg, count(*) AS ranks, min(rank) AS first, sum(n) AS met FROM g GROUP BY case_id),
-a AS (SELECT u.case_id, count(DISTINCT u.article_id) AS articles FROM u WHERE EXISTS (SELECT 1 FROM j WHERE j.case_id = u.case_id AND j.article_id = u.article_id) GROUP BY u.case_id),
-i AS (SELECT case_id, sum(gain / log2(n + 1)) AS idcg FROM (SELECT case_id, 2 ** grade - 1 AS gain, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC) AS n FROM j) WHERE n <= 5 GROUP BY case_id),
-w AS (SELECT case_id, count(*) AS wanted, count(DISTINCT article_id) AS wa FROM j GROUP BY case_id)
-SELECT case_id, coalesce(met, 0) / wanted AS recall, coalesce(articles, 0) / wa AS article_recall, coalesce(1.0 / first, 0.0) AS mrr, round(coalesce(dcg, 0) / idcg, 9) AS ndcg, coalesce(ranks, 0) / 5.0 AS subdivision_precision, coalesce(articles, 0) / 5.0 AS article_precision
-FROM w LEFT JOIN p USING (case_id) LEFT JOIN a USING (case_id) LEFT JOIN i USING (case_id)
-""")
-def graded_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.graded_metrics(inline(spark, "case_id string, rank int, unit_id string, article_id string, status string", HITS), inline(spark, "case_id string, article_id string, unit_id string, grade int", JUDGED), 5)
-
-
-@register(f"""
-WITH h AS {values("case_id, rank, unit_id, article_id, status", HITS)}, n AS {values("case_id, negative_id", NEGATIVE)}, c AS {values("case_id, no_applicable_ground", CASES)},
-u AS (SELECT case_id, unit_id, article_id, any_value(status) AS status FROM h WHERE rank <= 5 GROUP BY ALL),
-f AS (SELECT u.*, EXISTS (SELECT 1 FROM n WHERE n.case_id = u.case_id AND (u.unit_id = negative_id OR u.article_id = negative_id OR starts_with(u.unit_id, negative_id || '-'))) AS bad FROM u),
-s AS (SELECT case_id, avg(CAST(bad AS DOUBLE)) AS b, avg(CAST(coalesce(status IN ('revoked', 'vetoed'), FALSE) AS DOUBLE)) AS i, avg(CAST(status IS NULL AS DOUBLE)) AS k FROM f GROUP BY case_id)
-SELECT case_id, coalesce(b, 0) AS hard_negative_rate, coalesce(i, 0) AS inactive_rate, coalesce(k, 0) AS unknown_status_rate FROM c LEFT JOIN s USING (case_id)
-""")
-def safety_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = inline(spark, "case_id string, rank int, unit_id string, article_id string, status string", HITS)
-    return metrics.safety_rates(hits, inline(spark, "case_id string, negative_id string", NEGATIVE), inline(spark, "case_id string, no_applicable_ground boolean", CASES), 5)
-
-
-@register(f"""
-WITH h AS {values("case_id, rank, unit_id, article_id, status", HITS)}, c AS {values("case_id, no_applicable_ground", CASES)}
-SELECT case_id, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.case_id = c.case_id) THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS abstention FROM c WHERE no_applicable_ground
-""")
-def abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = inline(spark, "case_id string, rank int, unit_id string, article_id string, status string", HITS)
-    return metrics.abstention(inline(spark, "case_id string, no_applicable_ground boolean", CASES), hits)
-
-
 @register("""
 WITH x AS (SELECT lang, source, CAST(quality AS DOUBLE) AS score, toxic = 1 AS failed FROM documents JOIN labels USING (doc_id)),
 t AS (SELECT 'category' AS kind, lang AS grp, score, failed FROM x UNION ALL SELECT 'slice', source, score, failed FROM x UNION ALL SELECT 'slice', 'lang-' || lang, score, failed FROM x)
@@ -343,43 +300,13 @@ def injection_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.assessments(security.deduplicated(security.findings(pages)), pages.select("doc_id").distinct())
 
 
-FOUND = [("d1", "high"), ("d1", "medium"), ("d2", "critical"), ("d3", "medium"), ("d4", "low")]
-
-
-@register(f"""
-WITH f AS {values("doc_id, severity", FOUND)}, d AS {values("doc_id, scan_failed", [("d1", False), ("d2", False), ("d3", False), ("d4", False), ("d5", False), ("d6", True)])},
-p AS (SELECT doc_id, count(*) AS findings, max(list_position(['none', 'low', 'medium', 'high', 'critical'], severity)) AS level FROM f GROUP BY doc_id),
-r AS (SELECT doc_id, coalesce(findings, 0) AS findings, ['none', 'low', 'medium', 'high', 'critical'][CASE WHEN scan_failed THEN 5 ELSE coalesce(level, 1) END] AS risk FROM d LEFT JOIN p USING (doc_id))
-SELECT *, CASE risk WHEN 'critical' THEN 'block' WHEN 'high' THEN 'human_review' WHEN 'medium' THEN 'proceed_with_warning' ELSE 'proceed' END AS action FROM r
-""")
-def assessment_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = inline(spark, "doc_id string, scan_failed boolean", [(f"d{i}", i == 6) for i in range(1, 7)])
-    return security.assessments(inline(spark, "doc_id string, severity string", FOUND), documents)
-
-
-@register()
-def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = inline(spark, "doc_id long, page_no int, text string", ATTACKS)
-    return security.masked(pages, security.findings(pages))
-
-
-@register("SELECT page_id, CAST(i - 1 AS INTEGER) AS n, c[i] AS comment FROM (SELECT page_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--.{1,1000}?-->') AS c FROM pages))")
+@register("SELECT page_id, CAST(i - 1 AS INTEGER) AS n, c[i] AS comment FROM (SELECT page_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--.{1,1000}?.{0,1000}?-->') AS c FROM pages))")
 def html_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.html_comments(table(spark, sf_dir, "pages"))
 
 
 # Money, cases, settlement, intake.
 
-AMOUNTS = ["120,00", "5.000,00", "1.234", "12.5", "1234", "1.234.567,89", "7", "0,5"]
-
-
-@register(f"""
-WITH a AS {values("raw", [(a,) for a in AMOUNTS])}
-SELECT raw, CAST(CASE WHEN contains(raw, ',') THEN replace(replace(raw, '.', ''), ',', '.') WHEN regexp_full_match(raw, '[^.]*\\.[^.]{{0,2}}') THEN raw ELSE replace(raw, '.', '') END AS DOUBLE) AS amount FROM a
-""")
-def parse_brl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, "raw string", [(a,) for a in AMOUNTS]).select("raw", money.parse_brl(F.col("raw")).cast("double").alias("amount"))
-
 
 @register()
 def money_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,43 +342,6 @@ def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consumer.settlement(inputs).select("o_orderkey", *[F.col(c).cast("double").alias(c) for c in ("low_outcome", "high_outcome", "expected_low", "expected_high")])
 
 
-COMPLAINTS = [
-    (1, "employment", "Meu produto veio errado", "quero troca"), (2, "other", "Meu vizinho faz barulho e não recebi herança", ""), (3, "other", "Comprei um produto na loja", "Quero o dinheiro de volta"), (4, "service_failure", "Desisti da compra em sete dias e a loja negou", "reembolso"), (5, None, "Problema qualquer", None), (6, "unknown", "A entrega atrasada do produto", "entrega"),
-]
-
-
-def _signals(terms: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(t, '{x}')" for x in terms) + ")"
-
-
-_KNOWN = ", ".join(f"'{c}'" for c in consumer.EXPANSIONS)
-_CLEAN = "trim(regexp_replace(coalesce(complaint, ''), '\\s+', ' ', 'g'))"
-
-
-@register(f"""
-WITH c AS (SELECT *, lower({_CLEAN}) AS t FROM {values("case_id, category, complaint, wish", COMPLAINTS)})
-SELECT case_id, CASE WHEN category IN ('employment', 'labor', 'neighbor_dispute', 'no_consumer_relationship') THEN FALSE WHEN category IN ({_KNOWN}) AND category <> 'other' THEN TRUE ELSE {_signals(consumer.CONSUMER_SIGNALS)} OR NOT {_signals(consumer.OTHER_SIGNALS)} END AS in_scope,
- CASE {' '.join(f"WHEN {_signals(list(terms))} THEN '{name}'" for name, terms in consumer.REFINEMENTS)} WHEN category IN ({_KNOWN}) THEN category ELSE 'other' END AS category FROM c
-""")
-def scope_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, "case_id int, category string, complaint string, wish string", COMPLAINTS)
-    return rows.select("case_id", consumer.in_scope(F.col("category"), F.col("complaint")).alias("in_scope"), consumer.retrieval_category(F.col("category"), F.col("complaint")).alias("category"))
-
-
-_EXPANSION = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in consumer.EXPANSIONS.items()) + f" ELSE '{consumer.EXPANSIONS['other']}' END"
-
-
-@register(f"""
-WITH c AS (SELECT case_id, category, {_CLEAN} AS a, trim(regexp_replace(coalesce(wish, ''), '\\s+', ' ', 'g')) AS b FROM {values("case_id, category, complaint, wish", COMPLAINTS)}),
-s AS (SELECT case_id, category, concat_ws('. ', nullif(a, ''), nullif(b, '')) AS story FROM c)
-SELECT case_id, 1 AS n, 'Situação de consumo relatada: ' || story || '. Localizar dispositivos legais diretamente aplicáveis.' AS query FROM s UNION ALL SELECT case_id, 2, story || '. ' || {_EXPANSION} FROM s
-""")
-def legal_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, "case_id int, category string, complaint string, wish string", COMPLAINTS)
-    found = rows.select("case_id", F.posexplode(consumer.legal_queries(F.col("category"), F.col("complaint"), F.col("wish"))).alias("n", "query"))
-    return found.select("case_id", (F.col("n") + 1).alias("n"), "query")
-
-
 @register("""
 WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS m FROM conversations WHERE role = 'user'),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, m) AS n FROM t)
@@ -462,15 +352,6 @@ def intake_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consumer.intake(turns).select("conv_id", "messages", "complaint_summary")
 
 
-FACTS = [(1, "Banco", None, "fraud"), (2, None, "", "fraud"), (3, "Loja", "Ana", None), (4, "Loja", "Ana", "other")]
-
-
-@register(f"SELECT case_id, concat_ws(',', CASE WHEN coalesce(bank_name, '') = '' THEN 'bank_name' END, CASE WHEN coalesce(consumer_name, '') = '' THEN 'consumer_name' END, CASE WHEN coalesce(issue_category, '') = '' THEN 'issue_category' END) AS missing FROM {values('case_id, bank_name, consumer_name, issue_category', FACTS)}")
-def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, "case_id int, bank_name string, consumer_name string, issue_category string", FACTS)
-    return rows.select("case_id", F.concat_ws(",", consumer.missing(["bank_name", "consumer_name", "issue_category"])).alias("missing"))
-
-
 # Telemetry, logs, stores.
 
 MODELS = ["gpt-4o", "gpt-4.1-mini", "local"]
@@ -510,15 +391,6 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.run_metrics(traces).select("run_id", "duration_ms", "tokens", F.concat_ws(",", "models").alias("models"))
 
 
-LINES = ['{"run_id": "a", "success": true, "outcome": "blocked"}', '{"run_id": "b", "succ', '{"success": true}', '{"run_id": "c", "success": false}']
-
-
-@register(f"SELECT json_extract_string(value, '$.run_id') AS run_id, CAST(json_extract(value, '$.success') AS BOOLEAN) AS success, json_extract_string(value, '$.outcome') AS outcome FROM (SELECT * FROM {values('value', [(x,) for x in LINES])} WHERE json_valid(value)) WHERE json_extract_string(value, '$.run_id') IS NOT NULL")
-def corrupt_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("success", T.BooleanType()), T.StructField("outcome", T.StringType())])
-    return records.parsed_log(inline(spark, "value string", [(x,) for x in LINES]), schema, ["run_id", "success"])[0]
-
-
 @register("""
 WITH new AS (SELECT doc_id, 'v2' AS version, length(text) AS n FROM documents WHERE doc_id % 10 = 3)
 SELECT doc_id, 'v1' AS version, length(text) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new
@@ -552,18 +424,6 @@ def latest_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.latest(rows, key="user_id", value="event_type", at="at").drop("at")
 
 
-STAGES = [(1, 1, False, True, False), (1, 2, False, False, False), (1, 3, False, False, False), (2, 1, True, False, False), (2, 2, False, False, True), (2, 3, False, False, False)]
-
-
-@register(f"""
-WITH s AS (SELECT *, CASE WHEN failed THEN 'failed' WHEN done THEN 'done' WHEN skipped THEN 'skipped' END AS c FROM {values("job_id, stage_no, failed, done, skipped", STAGES)})
-SELECT job_id, stage_no, coalesce(c, CASE WHEN stage_no = min(stage_no) FILTER (c IS NULL) OVER (PARTITION BY job_id) THEN 'running' ELSE 'pending' END) AS status FROM s
-""")
-def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, "job_id int, stage_no int, failed boolean, done boolean, skipped boolean", STAGES)
-    return records.stage_status(rows).select("job_id", "stage_no", "status")
-
-
 @register("""
 SELECT source, '# Report ' || source || chr(10) || chr(10) || '## Documents' || chr(10) || chr(10) || count(*) || chr(10) || chr(10) || '## Languages' || chr(10) || chr(10) || string_agg(DISTINCT lang, ', ' ORDER BY lang) AS report FROM documents GROUP BY source
 """)
@@ -573,14 +433,20 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH c AS (SELECT b.item_id AS conclusion_id, d.doc_id, b.text AS quote, d.text FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7)
-SELECT conclusion_id, contains(trim(regexp_replace(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), trim(regexp_replace(regexp_replace(strip_accents(replace(lower(quote), 'ß', 'ss')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS valid FROM c
+WITH c AS (SELECT b.item_id AS conclusion_id, b.text AS quote, d.text, d.doc_id % 2 + 1 AS a, CASE b.item_id % 4 WHEN 0 THEN 'inside' WHEN 1 THEN 'unknown' WHEN 2 THEN 'cut' END AS kind FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t, trim(regexp_replace(regexp_replace(strip_accents(replace(lower(text[1:200]), 'ß', 'ss')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS head, trim(regexp_replace(regexp_replace(strip_accents(replace(lower(quote), 'ß', 'ss')), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM c)
+SELECT conclusion_id, q <> '' AND contains(t, q) AND CASE kind WHEN 'inside' THEN a = 1 WHEN 'unknown' THEN false WHEN 'cut' THEN a = 1 AND contains(head, q) ELSE true END AS valid FROM n
 """)
 def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of a chunk with the whole text or its head, of an unknown chunk, and of none; half of the chunks begin behind the page."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_no"), "text")
-    citations = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("conclusion_id"), (F.col("item_id") * 7).alias("doc_id"), F.lit(None).cast("string").alias("chunk_id"), F.lit(1).alias("page"), F.col("text").alias("quote"))
+    kind = F.col("item_id") % 4
+    doc = F.col("item_id") * 7
+    chunk = F.when(kind == 0, F.concat(F.lit("whole-"), doc.cast("string"))).when(kind == 1, "unknown").when(kind == 2, F.concat(F.lit("head-"), doc.cast("string")))
+    citations = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("conclusion_id"), doc.alias("doc_id"), chunk.alias("chunk_id"), F.lit(1).alias("page"), F.col("text").alias("quote"))
     known = citations.join(docs.select("doc_id"), "doc_id", "left_semi")
-    chunks = docs.filter("false").select(F.col("text").alias("chunk_id"), "text", F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"))
+    parts = F.array(F.struct(F.lit("whole-").alias("p"), F.col("text").alias("t")), F.struct(F.lit("head-").alias("p"), F.substring("text", 1, 200).alias("t")))
+    chunks = docs.select("doc_id", F.explode(parts).alias("c")).select(F.concat("c.p", F.col("doc_id").cast("string")).alias("chunk_id"), F.col("c.t").alias("text"), (F.col("doc_id") % 2 + 1).cast("int").alias("page_start"), F.lit(3).alias("page_end"))
     return records.validated_citations(known, chunks, docs).select("conclusion_id", "valid")
 
 
@@ -598,29 +464,12 @@ def page_renumbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAW = "<html><body><p>TÍTULO I</p><p>DOS DIREITOS</p><p>CAPÍTULO I Disposições</p><p>Art. 1º O presente código estabelece normas.</p><p>§ 1º Texto do parágrafo.</p><p>I - primeiro inciso;</p><p>a) alínea do inciso;</p><p>Parágrafo único. (VETADO)</p><p>Art. 3 Fora de ordem.</p><p>Art. 2° Consumidor é toda pessoa.</p><p>(Incluído pela Lei)</p><p>Pena - detenção.<p>Art. 2-A. (Revogado pela Lei)</p></body></html>"
 
 
-@register()
-def legal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import statutes
-
-    return statutes.legal_units(inline(spark, "law_id string, html string", [("br-law", LAW)]))
-
-
-@register()
-def legal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import statutes
-
-    return statutes.legal_chunks(legal_units(spark, sf_dir))
-
-
 @register()
 def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import statutes
 
-    @F.udf("array<string>", useArrow=True)
-    def parts(page: str) -> list[str]:
-        return statutes.paragraphs_of(page or "")
-
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(parts("html")).alias("n", "paragraph"))
+    found = statutes.paragraphs(table(spark, sf_dir, "pages"), law="page_id", html="html")
+    return found.select(F.col("law_id").cast("long").alias("page_id"), "n", F.col("text").alias("paragraph"))
 
 
 @register("""
