@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .retrieval import ranked
 
@@ -177,7 +178,7 @@ class VectorIndex:
             wanted = _units(np.array([r["v"] for r in given], np.float64))
             near = np.argsort(-(wanted @ centroids.T), axis=1, kind="stable")[:, :probes]
             part = stored.filter(F.col("cell").isin(np.unique(near).tolist())).select("item", "cell", "scale", "code", "vector")
-            body = _searcher([r["q"] for r in given], wanted, near, centroids, k, k * rerank, skip_self)
+            body = _searcher([r["q"] for r in given], wanted, near, centroids, k, k * rerank, skip_self, to_arrow_type(asked.schema["q"].dataType))
             part = part.mapInArrow(body, f"{query} {kinds[0]}, item {kinds[1]}, score double")
             found = part if found is None else found.unionByName(part)
         if found is None:
@@ -200,7 +201,7 @@ class VectorIndex:
         return places[max(0, int(np.ceil(recall * len(places))) - 1)] if places else 1
 
 
-def _searcher(ids: list, wanted: np.ndarray, near: np.ndarray, centroids: np.ndarray, k: int, most: int, skip_self: bool):
+def _searcher(ids: list, wanted: np.ndarray, near: np.ndarray, centroids: np.ndarray, k: int, most: int, skip_self: bool, key_type: pa.DataType):
     """Per batch and query: the best by codes, ranked by their vectors; k of each batch are kept."""
     asking: dict[int, np.ndarray] = {}
     for cell in np.unique(near).tolist():
@@ -236,6 +237,6 @@ def _searcher(ids: list, wanted: np.ndarray, near: np.ndarray, centroids: np.nda
                         out[0].append(ids[q])
                         out[1].append(item)
                         out[2].append(float(exact[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]) if out[0] else pa.array([], batch.schema.field(0).type), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.float64())], names=["q", "item", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], key_type), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.float64())], names=["q", "item", "score"])
 
     return run

@@ -70,7 +70,7 @@ class Conversation(StatefulProcessor):
                     self.seen.updateValue((name,), (facts["messages"],))
             out.append((key[0], name, *facts.values(), repeated))
         self.facts.update(tuple(facts.values()))
-        for timer in self.handle.listTimers():
+        for timer in list(self.handle.listTimers()):  # a pending iteration would hold the state server
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield pd.DataFrame(out, columns=["case_id", "client_message_id", *facts, "repeated"])
