@@ -297,7 +297,8 @@ def injection_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def injection_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _attacked(spark, sf_dir)
-    return security.assessments(security.deduplicated(security.findings(pages)), pages.select("doc_id").distinct())
+    found = security.deduplicated(security.findings(pages).unionByName(security.hidden_findings(pages)))
+    return security.assessments(found, pages.select("doc_id").distinct())
 
 
 @register("SELECT page_id, CAST(i - 1 AS INTEGER) AS n, c[i] AS comment FROM (SELECT page_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--.{1,1000}?.{0,1000}?-->') AS c FROM pages))")
@@ -308,10 +309,24 @@ def html_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Money, cases, settlement, intake.
 
 
-@register()
+MENTION_RE = "[Rr]\\$\\s*(\\d{1,3}(?:\\.\\d{3})*(?:,\\d{1,2})?|\\d+(?:[.,]\\d{1,2})?)"
+
+
+@register(f"""
+WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text[1:150] || ' R$ ' || (doc_id % 900 + 1) || ',50 ' || text[151:220] || 'r$1.234,5 ' || text[221:400] || ' R$ 0,00' FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, text, regexp_extract_all(text, '{MENTION_RE}') AS m, regexp_extract_all(text, '{MENTION_RE}', 1) AS raw, string_split_regex(text, '{MENTION_RE}') AS p FROM d WHERE regexp_matches(text, '{MENTION_RE}')),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x),
+s AS (SELECT doc_id, text, i - 1 AS n, raw[i] AS raw, len(m[i]) AS w, CAST(list_sum(list_transform(p[1:i], lambda y: len(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: len(y))), 0) AS BIGINT) AS pos FROM e),
+q AS (SELECT doc_id, n, CAST(CASE WHEN contains(raw, ',') THEN replace(replace(raw, '.', ''), ',', '.') WHEN regexp_full_match(raw, '[^.]*\\.[^.]{{0,2}}') THEN raw ELSE replace(raw, '.', '') END AS DECIMAL(18,2)) AS amount,
+  (trim(regexp_replace(text[greatest(pos - 100, 0) + 1 : pos + w + 100], '\\s+', ' ', 'g')))[1:300] AS quote FROM s)
+SELECT doc_id, CAST(amount AS DOUBLE) AS amount, quote, sha256(quote) AS quote_sha256, CAST(min(n) AS INTEGER) AS n FROM q WHERE amount > 0 GROUP BY doc_id, amount, quote
+""")
 def money_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and again with three amounts put into each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return consumer.money_mentions(docs.unionByName(inline(spark, "doc_id long, text string", [(-1, "Paguei R$ 120,00 e depois R$ 5.000,00 ao banco."), (-2, "R$ 0,00"), (-3, None)])))
+    own = F.concat(F.substring("text", 1, 150), F.lit(" R$ "), (F.col("doc_id") % 900 + 1).cast("string"), F.lit(",50 "), F.substring("text", 151, 70), F.lit("r$1.234,5 "), F.substring("text", 221, 180), F.lit(" R$ 0,00"))
+    paid = docs.filter("text IS NOT NULL").select((-1 - F.col("doc_id")).alias("doc_id"), own.alias("text"))
+    return consumer.money_mentions(docs.unionByName(paid)).withColumn("amount", F.col("amount").cast("double"))
 
 
 NUMBERS = [(-1, "0001234-56.2024.8.26.0100"), (-2, "00012345620248190001"), (-3, "0001234-56.2024.8.07.0001"), (-4, "0001234-56.2024.5.15.0001"), (-5, "0001234-56.2024.4.03.0001"), (-6, "0001234-56.2024.9.01.0001"), (-7, "no number")]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import usable_ocr_text
+from ..operators.records import label_errors
 
 BUSINESS_GOLDEN = "name STRING, language STRING, pages ARRAY<STRING>, expected STRUCT<lawsuit_type:STRING,case_number:STRING,claim_value_amount:DOUBLE,plaintiff:STRING,defendant:STRING,main_requests_contains:ARRAY<STRING>>, retrieval STRUCT<k:INT,queries:ARRAY<STRUCT<query:STRING,relevant_page_ranges:ARRAY<STRUCT<start:INT,end:INT>>,relevant_passages:ARRAY<STRING>>>>"
 CONSUMER_GOLDEN = "dataset_id STRING, version STRING, description STRING, source_url STRING, authoring STRING, review_status STRING, target_corpus_release_id STRING, target_corpus_sha256 STRING, cases ARRAY<STRUCT<case_id:STRING,category:STRING,slices:ARRAY<STRING>,complaint:STRING,desired_resolution:STRING,relevant:ARRAY<STRUCT<article_id:STRING,unit_id:STRING,grade:INT,rationale:STRING>>,hard_negatives:ARRAY<STRING>,no_applicable_ground:BOOLEAN>>"
@@ -25,6 +26,18 @@ def golden(spark: SparkSession, path: str, schema: str = BUSINESS_GOLDEN) -> Dat
     return found
 
 
+def checked_labels(cases: DataFrame, known: DataFrame) -> DataFrame:
+    """Consumer golden cases, or an error that names their labels which the corpus does not have or no longer has.
+
+    ``cases`` has the schema CONSUMER_GOLDEN, ``known``: id, status of articles and units.
+    """
+    each = cases.select(F.explode("cases").alias("c")).select("c.case_id", F.explode(F.concat(F.flatten(F.array(F.transform("c.relevant", lambda r: F.coalesce(r["unit_id"], r["article_id"])))), "c.hard_negatives")).alias("id"))
+    wrong = label_errors(each, known).orderBy("case_id", "id").limit(10).collect()
+    if wrong:
+        raise ValueError("labels: " + "; ".join(f"{r['case_id']}: {r['id']} is {r['problem']}" for r in wrong))
+    return cases
+
+
 def golden_pages(cases: DataFrame) -> DataFrame:
     return cases.select("name", F.posexplode("pages").alias("n", "text")).select("name", (F.col("n") + 1).alias("page_no"), "text")
 
@@ -39,13 +52,24 @@ def manifest(spark: SparkSession, path: str, schema: str, required: list[str], a
     return rows
 
 
-def snapshot(spark: SparkSession, path: str, sha256: str | None = None, charset: str = "windows-1252") -> DataFrame:
-    """Files with their text; content that does not have the given hash raises."""
-    files = spark.read.format("binaryFile").load(path)
+def confined(folder: str, name: str) -> str:
+    """The path of a file inside a folder; a name that leads out of it is refused."""
+    parts = name.replace("\\", "/").split("/")
+    if name.startswith(("/", "\\")) or ":" in parts[0] or ".." in parts or not name:
+        raise ValueError(f"{name} is not inside the folder")
+    return f"{folder.rstrip('/')}/{'/'.join(p for p in parts if p not in ('', '.'))}"
+
+
+def snapshot(spark: SparkSession, folder: str, name: str | None = None, sha256: str | None = None, charset: str = "windows-1252") -> DataFrame:
+    """Files with their text; content that does not have the given hash, or is not of the charset, raises.
+
+    With ``name`` only that file of the folder is read, and none outside it.
+    """
+    files = spark.read.format("binaryFile").load(confined(folder, name) if name else folder)
 
     @F.pandas_udf("string")
     def decoded(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: bytes(b).decode(charset, "replace"))
+        return content.map(lambda b: bytes(b).decode(charset))
 
     content = F.col("content")
     if sha256:

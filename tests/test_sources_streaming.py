@@ -3,6 +3,7 @@ import struct
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.sources import readers
 from quirelake.streaming import cases
@@ -30,6 +31,25 @@ def test_images_uploads_and_snapshot(spark, tmp_path):
     assert readers.snapshot(spark, str(tmp_path / "d.html")).first().text == "ação"
     with pytest.raises(Exception, match="hash differs"):
         readers.snapshot(spark, str(tmp_path / "d.html"), sha256="0" * 64).collect()
+    assert readers.snapshot(spark, str(tmp_path), "./d.html").first().text == "ação"
+    for name in ("../d.html", "/etc/passwd", "a/../../b", "c:\\x", ""):
+        with pytest.raises(ValueError, match="not inside"):
+            readers.confined(str(tmp_path), name)
+    (tmp_path / "e.html").write_bytes(b"\x81\x8d")
+    with pytest.raises(Exception, match="decode"):
+        readers.snapshot(spark, str(tmp_path / "e.html")).collect()
+
+
+def test_labels_are_checked_on_load(spark, tmp_path):
+    case = {"case_id": "c1", "relevant": [{"article_id": "a1", "unit_id": None, "grade": 1}, {"article_id": "a1", "unit_id": "u9", "grade": 2}], "hard_negatives": ["a2"]}
+    (tmp_path / "g.json").write_text(json.dumps({"dataset_id": "d", "cases": [case]}))
+    cases = readers.golden(spark, str(tmp_path), readers.CONSUMER_GOLDEN)
+    known = spark.createDataFrame([("a1", "active"), ("a2", "revoked"), ("u9", "active")], "id string, status string")
+    with pytest.raises(ValueError, match="c1: a2 is inactive"):
+        readers.checked_labels(cases, known)
+    with pytest.raises(ValueError, match="c1: u9 is unknown"):
+        readers.checked_labels(cases, known.filter("id <> 'u9'"))
+    assert readers.checked_labels(cases, known.withColumn("status", F.lit("active"))).count() == 1
 
 
 def test_ingest(spark, tmp_path):
