@@ -90,6 +90,12 @@ def balanced_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, *, key: str = "doc_id", text: str = "text") -> None:
-    """Write the rows of ``docs`` as Parquet under ``path/shard=K``, each in key order."""
+    """Write the rows of ``docs`` as Parquet under ``path/shard=K``, each in key order.
+
+    Where ``docs`` has a column ``shard`` of its own, the folders are named ``shard_=K``.
+    """
+    folder = "shard"
+    while folder in {c.lower() for c in docs.columns}:
+        folder += "_"
     rows = balanced_shards(docs, shards, key=key, text=text, payload=docs.columns)
-    rows.select(*docs.columns, F.col(SHARD).alias("shard")).write.partitionBy("shard").parquet(path)
+    rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(SHARD).alias(folder)).write.partitionBy(folder).parquet(path)

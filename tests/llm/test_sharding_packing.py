@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from quirelake.llm import packing, sharding
@@ -31,6 +32,11 @@ def test_written_shards_hold_all_rows(spark, make_docs, corpus, tmp_path):
     sharding.write_shards(make_docs(corpus), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(corpus) and back.select("shard").distinct().count() == 3
+    # A column of that name keeps its values.
+    own = make_docs(corpus).withColumn("shard", F.lit(99))
+    sharding.write_shards(own, str(tmp_path / "own"), 3)
+    back = spark.read.parquet(str(tmp_path / "own"))
+    assert back.select("shard").distinct().collect()[0][0] == 99 and back.select("shard_").distinct().count() == 3
 
 
 TRICKY = ["", "Hello World's CAN'T don't 'S", "  é É́ éx İstanbul ΣΑΣ 123 a1b2 foo_bar", "<|endoftext|>x", "\x1c a\xa0b   naïve!!!", "a\r\nb\tc", "ẞß ǅ ﬁ Å 𝔘 ..,,!?%$ x%y%%", "aaaaaaaaaaaaaaaaaaaaaaa" * 40, "²³¹¼ ªº µm ÿÀ×÷", "日本語 テスト", "x" * 5000]
