@@ -238,18 +238,18 @@ s AS (
   SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM q JOIN df USING (part, term) JOIN tf USING (part, term) JOIN tot USING (part) GROUP BY query_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM s))
-SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM r WHERE rank <= 5
 """)
 def bm25_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 4).alias("part"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % 4).alias("part"))
-    return retrieval.bm25(docs, asked, 5, scope="part").select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.bm25(docs, asked, 5, scope="part").select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 @register("""
 WITH v AS (SELECT vec_id, vec_id // 100 % 5 AS own, vec_id % 5 AS part, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.own = d.part)
-SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5
+SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5
 """)
 def dense_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query sees the vectors of its own scope only."""
@@ -257,4 +257,4 @@ def dense_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = v.withColumn("part", F.col("vec_id") % 5)
     asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.expr("vec_id div 100 % 5").alias("part"))
     found = retrieval.dense(items, asked, 5, item="vec_id", query="query_id", scope="part")
-    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")

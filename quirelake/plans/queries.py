@@ -144,23 +144,23 @@ lex AS (
 
 
 @register(f"""WITH {BM25_SQL}
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM lex)) WHERE rank <= 5
+SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM lex)) WHERE rank <= 5
 """)
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), 5)
-    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 @register("""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)
-SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10
+SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10
 """)
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     found = retrieval.dense(v.select("vec_id", F.col("embedding").alias("vector")), asked, 10, item="vec_id", query="query_id", skip_self=True)
-    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -190,11 +190,11 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {BM25_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM lex)),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, query_id, rank) AS n FROM r WHERE rank <= 5)
-SELECT doc_id, query_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM b WHERE n = 1
+SELECT doc_id, query_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM b WHERE n = 1
 """)
 def merge_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), 5).withColumn("score", F.round("score", 9))
-    return retrieval.merge_best(found, item="doc_id", order=["query_id", "rank"]).select("doc_id", "query_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.merge_best(found, item="doc_id", order=["query_id", "rank"]).select("doc_id", "query_id", "rank", F.round("score", 4).alias("score"))
 
 
 @register("""
