@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import quote_in
+from .metrics import shown
 
 
 def run_totals(runs: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def validated_citations(citations: DataFrame, chunks: DataFrame, pages: DataFram
 
 
 def citation_counts(checked: DataFrame, conclusions: DataFrame) -> DataFrame:
-    """total, verified, rejected citations, conclusions without any, groundedness and coverage, to three decimals.
+    """total, verified, rejected citations, conclusions without any, groundedness and coverage, to three decimals (halves of the binary value to even).
 
     Hallucination is what the rounded groundedness lacks of 1; without citations groundedness is 0.
     """
@@ -51,8 +52,8 @@ def citation_counts(checked: DataFrame, conclusions: DataFrame) -> DataFrame:
     n = checked.agg(F.count("*").alias("total"), F.count_if("valid").alias("verified"), F.avg(F.col("valid").cast("double")).alias("share"))
     c = conclusions.join(with_any.withColumn("has", F.lit(True)), "conclusion_id", "left").agg(F.count_if(F.col("has").isNull()).alias("conclusions_without"), F.avg(F.coalesce("has", F.lit(False)).cast("double")).alias("coverage"))
     joined = n.withColumn("k", F.lit(1)).join(c.withColumn("k", F.lit(1)), "k")
-    grounded = F.round(F.coalesce("share", F.lit(0.0)), 3)
-    return joined.select("total", "verified", (F.col("total") - F.col("verified")).alias("rejected"), "conclusions_without", grounded.alias("groundedness"), F.round(1 - grounded, 3).alias("hallucination"), F.round(F.coalesce("coverage", F.lit(0.0)), 3).alias("coverage"))
+    grounded = shown(F.coalesce("share", F.lit(0.0)))
+    return joined.select("total", "verified", (F.col("total") - F.col("verified")).alias("rejected"), "conclusions_without", grounded.alias("groundedness"), shown(1 - grounded).alias("hallucination"), shown(F.coalesce("coverage", F.lit(0.0))).alias("coverage"))
 
 
 def replaced(existing: DataFrame, new: DataFrame, *, doc: str = "doc_id") -> DataFrame:

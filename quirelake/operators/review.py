@@ -89,7 +89,9 @@ def suspicious_passages(pages: DataFrame, found: DataFrame, *, most: int = MOST_
     order = security.severity_rank(F.col("severity"))
     quotes = found.select("doc", "page", F.struct(F.lit(0).alias("kind"), (-order).cast("long").alias("a"), F.col("page").cast("long").alias("b"), F.concat_ws(":", "category", "quote").alias("c")).alias("at"), F.col("quote").alias("passage"))
     parts = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^.!?;]+[.!?;]?"), F.lit(0)), lambda p: F.trim(p, F.lit(" \t\n\r")))
-    split = pages.select("doc", "page", F.posexplode(parts).alias("n", "part")).filter("part <> ''")
+    # Passages end at signs that are no letters, so what a passage matches its page matches too.
+    hinted = bound(canonical_form(F.coalesce("text", F.lit(""))), lambda f: (f.rlike(CONTROL_TERMS) & f.rlike(TARGET_TERMS)) | f.rlike(MARKERS))
+    split = pages.filter(hinted).select("doc", "page", F.posexplode(parts).alias("n", "part")).filter("part <> ''")
     shown = split.select("doc", "page", F.struct(F.lit(1).alias("kind"), F.col("page").cast("long").alias("a"), F.col("n").cast("long").alias("b"), F.lit("").alias("c")).alias("at"), focused(F.col("part")).alias("passage"))
     rows = quotes.unionByName(shown.filter("passage IS NOT NULL")).withColumn("passage", F.substring(F.trim(F.col("passage"), F.lit(" \t\n\r")), 1, PASSAGE)).filter("passage <> ''")
     once = rows.groupBy("doc", "page", canonical_form(F.col("passage")).alias("form")).agg(F.min(F.struct("at", "passage")).alias("x"))
