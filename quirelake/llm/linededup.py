@@ -98,7 +98,7 @@ def _ends(phrase: Column, following: Column) -> Column:
 
 def _joined(parts: Column, start: Column, end: Column) -> Column:
     """Text of the parts from ``start`` to before ``end``."""
-    return F.when(end > start, F.array_join(F.transform(F.sequence(start, end - 1), lambda i: F.get(parts, i)), "")).otherwise("")
+    return F.when(end > start, F.array_join(F.slice(parts, start + 1, end - start), "")).otherwise("")
 
 
 def chunk_marks(text: Column) -> Column:
@@ -117,10 +117,12 @@ def chunk_marks(text: Column) -> Column:
         return F.concat(F.array(F.lit(0)), F.array_compact(least), F.array(F.size(h)))
 
     def chunks(p: Column, h: Column, c: Column) -> Column:
-        def at(k: Column, j: Column) -> Column:
-            return _let(F.get(c, j + 1), lambda to: F.when(to > k, F.struct(F.xxhash64(F.slice(h, k + 1, to - k)).alias("h"), k.alias("p"), (to - k).alias("n"), (F.octet_length(F.get(p, k)) + F.when(to - k > 1, F.octet_length(F.get(p, to - 1))).otherwise(0)).alias("l"))))
+        def between(k: Column, to: Column) -> Column:
+            outer = F.octet_length(F.get(p, k)) + F.when(to - k > 1, F.octet_length(F.get(p, to - 1))).otherwise(0)
+            return F.struct(F.xxhash64(F.slice(h, k + 1, to - k)).alias("h"), k.alias("p"), (to - k).alias("n"), outer.alias("l"))
 
-        return F.filter(F.transform(c, at), lambda x: x.isNotNull())
+        # The cuts ascend, from the first phrase to behind the last.
+        return F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), between)
 
     return _let(_phrases(text), of)
 
@@ -207,16 +209,19 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ends = marks.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(free).alias("nlow"), F.max(free).alias("nhigh"), F.count("*").alias("rows"))
     several = F.coalesce(F.col("low") < F.col("high"), F.lit(False)) | (F.col("nlow").isNotNull() & (F.col("low").isNotNull() | (F.col("nlow") < F.col("nhigh"))))
     repeated = scratch.table(ends.filter(several).select("h", "low", "nlow", "rows"), "repeated")
-    hot = F.col("rows") > _lot(repeated, "rows")
     first = F.when(F.col("low").isNotNull(), F.col("doc") == F.col("low")).otherwise(F.col("row") == F.col("nlow"))
     later = F.when(F.col("low").isNotNull(), F.coalesce(F.col("doc") > F.col("low"), F.lit(True))).otherwise(F.col("row") > F.col("nlow"))
-
-    def pairs(held: DataFrame, few: bool) -> DataFrame:
-        keeper = held.filter(first).groupBy("h").agg(F.min(F.struct("row", "p")).alias("k")).select("h", F.col("k.row").alias("krow"), F.col("k.p").alias("q"))
-        return held.filter(later).join(F.broadcast(keeper) if few else keeper, "h").select("doc", "row", "low", "krow", "p", "q", "n", "l")
-
-    # At most HOT_SHARE chunks are hot, so both broadcasts are bounded.
-    both = pairs(marks.join(F.broadcast(repeated.filter(hot)), "h"), True).unionByName(pairs(marks.join(repeated.filter(~hot), "h"), False))
+    # The rows of a hot chunk are dealt over lots; at most HOT_SHARE chunks are hot, so what is broadcast is bounded.
+    size = _lot(repeated, "rows")
+    lots = F.coalesce(F.col("lots"), F.lit(1))
+    hot = F.broadcast(repeated.filter(F.col("rows") > size).select("h", F.ceil(F.col("rows") / size).cast("int").alias("lots")))
+    copies = F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot")
+    dealt = marks.join(hot, "h", "left").withColumn("lot", F.pmod(F.xxhash64("doc", "row"), lots.cast("long")).cast("int")).drop("lots")
+    wanted = repeated.withColumn("lots", F.ceil(F.col("rows") / size).cast("int")).select("h", "low", "nlow", "lots", copies)
+    held = scratch.table(dealt.join(wanted, ["h", "lot"]), "held")
+    keeper = held.filter(first).groupBy("h").agg(F.min(F.struct("row", "p")).alias("k"), F.first("lots").alias("lots"))
+    keeper = keeper.select("h", F.col("k.row").alias("krow"), F.col("k.p").alias("q"), copies)
+    both = held.filter(later).join(keeper, ["h", "lot"]).select("doc", "row", "low", "krow", "p", "q", "n", "l")
     low, high = F.min("q") - REACH, F.max(F.col("q") + F.col("n")) + REACH
     places = both.groupBy("doc", "row", "low", "krow", (F.col("p") - F.col("q")).alias("shift")).agg(
         (F.floor(F.greatest(low, F.lit(0)) / GRID) * GRID).cast("int").alias("from"), (F.ceil(high / GRID) * GRID).cast("int").alias("to"), F.sum("l").alias("l")
@@ -241,7 +246,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     found = _null_safe(dealt.alias("p"), shown.alias("q"), [*place, "lot"], "inner")
     found = found.groupBy("p.doc", "p.row").agg(F.collect_set(F.struct(F.col("q.k").alias("k"), (F.col("p.from") + F.col("p.shift")).alias("at"))).alias("found"))
     found = scratch.table(found, "found").alias("g")
-    for name in ("marks", "repeated", "places", "asked", "shown"):
+    for name in ("marks", "repeated", "held", "places", "asked", "shown"):
         scratch.drop(name)
 
     same = doc.eqNullSafe(F.col("g.doc")) & (F.xxhash64(body) == F.col("g.row"))
