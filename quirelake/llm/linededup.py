@@ -53,8 +53,8 @@ _ALL = r"\x{100}-\x{10FFFF}"
 _HALF = "".join(f"\\x{{{c:x}}}-\\x{{{c + 63:x}}}" for c in range(0x100, 0x10000, 64) if not 0xD800 <= c < 0xE000 and (c * 2654435761 >> 17) % 2)
 #: Where a line begins: at a line break; at a blank after the end of a sentence, or between two characters of the classes.
 BREAK = rf"(?=[ \t\n])(?:(?<=[{_dealt(9, 2, _ALL)}.!?\u3002])(?=[ \t][{_dealt(8, 1, _ALL)}])|(?<=[.!?\u3002])(?=[ \t])|(?=\n)(?<=[^\n]))"
-#: And within tokens of more than 32 characters: after three characters of a class.
-LONG_TOKEN, _SIGN = r"\S{33}", _dealt(6, 3, _HALF)
+#: And, in lines of more than LONG_LINE bytes, within tokens of more than 32 characters: after three characters of a class.
+LONG_LINE, LONG_TOKEN, _SIGN = 64, r"\S{33}", _dealt(6, 3, _HALF)
 WITHIN = rf"(?<=[{_SIGN}][{_SIGN}][{_SIGN}])(?=\S)(?<=\S{{32}})"
 #: Where a word begins; the blanks before it belong to it.
 WORD = r"(?<=[^ \t\n\r])(?=[ \t\n\r])"
@@ -78,7 +78,7 @@ def _bare(word: Column) -> Column:
 
 def _phrases(text: Column) -> Column:
     """Array of the lines of a text; joined they give the text."""
-    wide = lambda line: (F.octet_length(line) > 32) & line.rlike(LONG_TOKEN)
+    wide = lambda line: (F.octet_length(line) > LONG_LINE) & line.rlike(LONG_TOKEN)
 
     def finer(lines: Column) -> Column:
         return F.flatten(F.transform(lines, lambda x: F.when(wide(x), F.split(x, WITHIN, -1)).otherwise(F.array(x))))
@@ -201,7 +201,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "linededup")
     d = docs.alias("d")
     body, doc = F.col(f"d.`{text}`").cast("string"), F.col(f"d.`{key}`")
-    chunks = d.filter(F.length(body) > 0).select(doc.alias("doc"), F.xxhash64(body).alias("row"), F.explode(chunk_marks(body)).alias("m"))
+    # The hash of a row is taken below the generator; beside it, it would be taken of the whole text for each chunk.
+    rows = d.filter(F.length(body) > 0).select(doc.alias("doc"), F.xxhash64(body).alias("row"), body.alias("body"))
+    chunks = rows.select("doc", "row", F.explode(chunk_marks(F.col("body"))).alias("m"))
     marks = scratch.table(chunks.select("doc", "row", "m.*").filter((F.col("n") > 1) | (F.col("l") >= LONE_BYTES)), "marks", hashes=("h",))
 
     # By hash: which chunks are held by several documents, and by which first.
