@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import bound
 from ..functions.text import chunk_quote, citation_form
 
 MOST_GROUNDS, MOST_EVIDENCE, MOST_REFERENCES = 8, 8, 50
@@ -79,11 +80,26 @@ def passages(pages: DataFrame, *, key: str, text: str) -> DataFrame:
     return pages.select(key, F.posexplode(F.filter(parts, lambda p: p != "")).alias("n", "passage"))
 
 
+def windows_of(text: Column, *, width: int = WINDOW, step: int = STEP) -> Column:
+    """Array of struct(n, passage): overlapping windows of a text, trimmed, without blank ones.
+
+    The text is cut once, into pieces of ``step`` characters, and a window is a piece with
+    the beginning of what follows: work is linear in the text, and no row carries it along.
+    """
+    more = -(-width // step)  # pieces that a window reaches into
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def window(p: Column, i: Column) -> Column:
+        whole = F.substring(F.array_join(F.slice(p, i + 1, F.lit(more)), ""), 1, width)
+        return F.struct(i.alias("n"), F.trim(whole, F.lit(" \t\n\r")).alias("passage"))
+
+    return bound(pieces, lambda p: F.filter(F.transform(p, lambda _, i: window(p, i)), lambda w: w["passage"] != ""))
+
+
 def windows(pages: DataFrame, *, key: str, text: str, width: int = WINDOW, step: int = STEP) -> DataFrame:
     """Overlapping windows over the whole text of every page; blank ones are left out."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    rows = pages.filter(F.length(text) > 0).select(key, F.col(text).alias("__text"), F.explode(starts).alias("start"))
-    return rows.select(key, "start", F.trim(F.substring(F.col("__text"), F.col("start") + 1, F.lit(width)), F.lit(" \t\n\r")).alias("passage")).filter("passage <> ''")
+    rows = pages.select(key, F.explode(windows_of(F.col(text), width=width, step=step)).alias("__w"))
+    return rows.select(key, (F.col("__w.n") * step).alias("start"), F.col("__w.passage").alias("passage"))
 
 
 def batches(sizes: Column, most: int = BATCH_CHARACTERS) -> Column:

@@ -100,10 +100,8 @@ def suspicious_passages(pages: DataFrame, found: DataFrame, *, most: int = MOST_
 
 def all_windows(pages: DataFrame, *, width: int = PASSAGE, step: int = casework.STEP) -> DataFrame:
     """Candidates of the strict mode: overlapping windows of every page; ``n`` is their place in the page."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))
-    rows = pages.filter(F.length("text") > 0).select("doc", "page", "text", F.explode(starts).alias("start"))
-    cut = F.trim(F.substring(F.col("text"), F.col("start") + 1, F.lit(width)), F.lit(" \t\n\r"))
-    return rows.select("doc", "page", F.expr(f"start div {step}").cast("int").alias("n"), cut.alias("passage")).filter("passage <> ''")
+    rows = pages.select("doc", "page", F.explode(casework.windows_of(F.col("text"), width=width, step=step)).alias("w"))
+    return rows.select("doc", "page", "w.n", "w.passage")
 
 
 def batch_count(sizes: Column, most: int = casework.BATCH_CHARACTERS) -> Column:
