@@ -52,13 +52,17 @@ def _dealt(share: int, salt: int, rest: str) -> str:
 _ALL = r"\x{100}-\x{10FFFF}"
 _HALF = "".join(f"\\x{{{c:x}}}-\\x{{{c + 63:x}}}" for c in range(0x100, 0x10000, 64) if not 0xD800 <= c < 0xE000 and (c * 2654435761 >> 17) % 2)
 #: Where a line begins: at a line break; at a blank after the end of a sentence, or between two characters of the classes.
-BREAK = rf"(?=[ \t\n])(?:(?<=[{_dealt(9, 2, _ALL)}.!?\u3002])(?=[ \t][{_dealt(8, 1, _ALL)}])|(?<=[.!?\u3002])(?=[ \t])|(?=\n)(?<=[^\n]))"
+BREAK = rf"(?<=[{_dealt(9, 2, _ALL)}.!?\u3002])[ \t](?:[{_dealt(8, 1, _ALL)}]|(?<=[.!?\u3002].))|\n(?<=[^\n].)"
+#: A line: its first character and on to where the next begins. Characters from "!" to U+D7FF are passed over in one loop.
+LINE = rf"(?s).[!-\x{{D7FF}}]*(?:(?!{BREAK}).[!-\x{{D7FF}}]*)*+"
 #: And, in lines of more than LONG_LINE bytes, within tokens of more than 32 characters: after three characters of a class.
 LONG_LINE, LONG_TOKEN, _SIGN = 64, r"\S{33}", _dealt(6, 3, _HALF)
 WITHIN = rf"(?<=[{_SIGN}][{_SIGN}][{_SIGN}])(?=\S)(?<=\S{{32}})"
+PART = rf"(?s).(?:(?!{WITHIN}).)*+"
 #: Where a word begins; the blanks before it belong to it.
 WORD = r"(?<=[^ \t\n\r])(?=[ \t\n\r])"
 BLANKS = " \t\n\r"
+GAP = "[ \\t\\n\\r]+"
 #: Least bytes of a line that is a chunk by itself.
 LONE_BYTES = 20
 #: Phrases beyond the outermost equal chunks that are compared, and the grid of such pieces.
@@ -76,14 +80,21 @@ def _bare(word: Column) -> Column:
     return F.trim(word, F.lit(BLANKS))
 
 
-def _phrases(text: Column) -> Column:
-    """Array of the lines of a text; joined they give the text."""
+def _lines(text: Column) -> Column:
+    """Lines of a text but for those within long tokens. Spark compiles this pattern once a task, that of a split once a text."""
+    return F.regexp_extract_all(text, F.lit(LINE), 0)
+
+
+def _finer(lines: Column) -> Column:
+    """Lines with long tokens cut within these."""
     wide = lambda line: (F.octet_length(line) > LONG_LINE) & line.rlike(LONG_TOKEN)
+    finer = F.flatten(F.transform(lines, lambda x: F.when(wide(x), F.regexp_extract_all(x, F.lit(PART), 0)).otherwise(F.array(x))))
+    return F.when(F.exists(lines, wide), finer).otherwise(lines)
 
-    def finer(lines: Column) -> Column:
-        return F.flatten(F.transform(lines, lambda x: F.when(wide(x), F.split(x, WITHIN, -1)).otherwise(F.array(x))))
 
-    return _let(F.split(text, BREAK, -1), lambda lines: F.when(F.exists(lines, wide), finer(lines)).otherwise(lines))
+def _phrases(text: Column) -> Column:
+    """Array of the lines of a text; joined they give the text."""
+    return _let(_lines(text), _finer)
 
 
 def _words(text: Column) -> Column:
@@ -101,35 +112,55 @@ def _joined(parts: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.array_join(F.slice(parts, start + 1, end - start), "")).otherwise("")
 
 
-def chunk_marks(text: Column) -> Column:
-    """Array of struct(h hash of its lines' hashes, p first line, n lines, l bytes of its outer lines) of the chunks of a text."""
+def _hashes(p: Column) -> Column:
+    return F.transform(p, lambda x: F.xxhash64(x))
 
-    def of(p: Column) -> Column:
-        return _let(F.transform(p, lambda x: F.xxhash64(x)), lambda h: _let(cuts(h), lambda c: chunks(p, h, c)))
 
-    def rolling(h: Column) -> Column:
-        """Of each two phrases in a row; the next one comes in and the first goes out by one exclusive or each."""
-        return F.transform(h, lambda x, i: x.bitwiseXOR(F.get(h, i + 1)))
+def _cuts(h: Column) -> Column:
+    """Array of the first lines of the chunks, and behind it the number of lines, by the hashes of the lines."""
 
-    def cuts(h: Column) -> Column:
+    def least(r: Column) -> Column:
         # Beside a missing neighbour the comparison is null, so the ends of a text are no minima.
-        least = _let(rolling(h), lambda r: F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)), i)))
-        return F.concat(F.array(F.lit(0)), F.array_compact(least), F.array(F.size(h)))
+        return F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)), i))
 
-    def chunks(p: Column, h: Column, c: Column) -> Column:
-        def between(k: Column, to: Column) -> Column:
-            outer = F.octet_length(F.get(p, k)) + F.when(to - k > 1, F.octet_length(F.get(p, to - 1))).otherwise(0)
-            return F.struct(F.xxhash64(F.slice(h, k + 1, to - k)).alias("h"), k.alias("p"), (to - k).alias("n"), outer.alias("l"))
+    # Rolling, of each two lines in a row: the next one comes in and the first goes out by one exclusive or each.
+    rolling = F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda x, y: x.bitwiseXOR(y))
+    return F.concat(F.array(F.lit(0)), F.array_compact(_let(rolling, least)), F.array(F.size(h)))
+
+
+def _chunk(p: Column, h: Column, k: Column, to: Column) -> Column:
+    """struct(h hash of its lines' hashes, p first line, n lines, l bytes of its outer lines) of the chunk from line ``k`` to before ``to``."""
+    outer = F.octet_length(F.get(p, k)) + F.when(to - k > 1, F.octet_length(F.get(p, to - 1))).otherwise(0)
+    return F.struct(F.xxhash64(F.slice(h, k + 1, to - k)).alias("h"), k.alias("p"), (to - k).alias("n"), outer.alias("l"))
 
+
+def chunk_marks(text: Column) -> Column:
+    """Array of the chunks of a text, as ``_chunk`` gives them."""
+
+    def chunks(p: Column, h: Column, c: Column) -> Column:
         # The cuts ascend, from the first phrase to behind the last.
-        return F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), between)
+        return F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda k, to: _chunk(p, h, k, to))
+
+    return _let(_phrases(text), lambda p: _let(_hashes(p), lambda h: _let(_cuts(h), lambda c: chunks(p, h, c))))
 
-    return _let(_phrases(text), of)
+
+def marks_of(rows: DataFrame) -> DataFrame:
+    """doc, row and the chunks of the texts ``body``: those of ``chunk_marks``, one a row.
+
+    Each step is a projection of its own: nested, every level would copy all lines.  The
+    chunks are taken behind the generator, where Spark compiles them.
+    """
+    lines = rows.select("doc", "row", _lines(F.col("body")).alias("s")).select("doc", "row", _finer(F.col("s")).alias("s"))
+    cuts = lines.select("doc", "row", "s", _hashes(F.col("s")).alias("x")).select("doc", "row", "s", "x", _cuts(F.col("x")).alias("c"))
+    at = cuts.select("doc", "row", "s", "x", "c", F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("i"))
+    chunk = _chunk(F.col("s"), F.col("x"), F.get("c", F.col("i")), F.get("c", F.col("i") + 1))
+    return at.select("doc", "row", chunk.alias("m")).select("doc", "row", "m.*")
 
 
 def _equal_words(ours: Column, theirs: Column, at_end: bool) -> Column:
     """Number of equal words at the begin or at the end of two phrases; 0 beside a missing phrase."""
-    side = (lambda p: F.reverse(F.transform(_words(p), _bare))) if at_end else (lambda p: F.transform(_words(p), _bare))
+    bare = lambda p: F.split(F.ltrim(p, F.lit(BLANKS)), GAP, -1)
+    side = (lambda p: F.reverse(bare(p))) if at_end else bare
     same = F.zip_with(side(ours), side(theirs), lambda x, y: F.coalesce(x == y, F.lit(False)))
     return F.coalesce(_let(same, lambda s: F.coalesce(F.nullif(F.array_position(s, False), F.lit(0)) - 1, F.size(s).cast("long"))), F.lit(0)).cast("int")
 
@@ -143,7 +174,7 @@ def _stretches(ours: Column, found: Column, min_bytes: int) -> Column:
 
     def unequal(x: Column) -> Column:
         def differs(i: Column) -> Column:
-            return (i < 0) | (i == F.size(x["k"])) | ~F.coalesce(F.get(x["k"], i) == F.get(ours, i + x["at"]), F.lit(False))
+            return ~F.coalesce(F.get(x["k"], i) == F.get(ours, i + x["at"]), F.lit(False))
 
         def run(i: Column, j: Column) -> Column:
             begin, end = i + x["at"] + 1, F.get(bad[0], j + 1) + x["at"]
@@ -158,10 +189,11 @@ def _stretches(ours: Column, found: Column, min_bytes: int) -> Column:
         return F.transform(_let(F.filter(F.sequence(F.lit(-1), F.size(x["k"])), differs), runs), edges)
 
     def edges(r: Column) -> Column:
+        # Words are compared beside long runs only.
         before, after = F.get(ours, r["a"] - 1), F.get(ours, r["b"])
-        body = F.octet_length(F.trim(_joined(ours, r["a"], r["b"]), F.lit(BLANKS)))
-        value = F.struct(r["a"].alias("a"), r["b"].alias("b"), body.alias("n"), _equal_words(before, r["before"], True).alias("t"), _equal_words(after, r["after"], False).alias("h"))
-        return _let(value, lambda v: F.when(v["n"] >= min_bytes, place(v, before)))
+        value = F.struct(r["a"].alias("a"), r["b"].alias("b"), _equal_words(before, r["before"], True).alias("t"), _equal_words(after, r["after"], False).alias("h"))
+        long = lambda body: (F.octet_length(body) >= min_bytes) & (F.octet_length(F.trim(body, F.lit(BLANKS))) >= min_bytes)
+        return F.when(_let(_joined(ours, r["a"], r["b"]), long), _let(value, lambda v: place(v, before)))
 
     def place(v: Column, before: Column) -> Column:
         # Up to three words of the sentence before or behind may be equal by chance.
@@ -190,7 +222,7 @@ def _without(text: Column, found: Column, min_bytes: int) -> Column:
         last = F.when(b["w"] > 0, _let(of(b["i"]), lambda w: _joined(w, F.lit(0), b["w"]))).otherwise("")
         return F.when(a >= b, "").when(a["i"] == b["i"], within).otherwise(F.concat(first, _joined(p, a["i"] + 1, b["i"]), last))
 
-    return _let(_phrases(text), lambda p: _let(F.array_sort(F.array_distinct(_stretches(p, found, min_bytes))), lambda cuts: rest(p, cuts)))
+    return _let(_phrases(text), lambda p: _let(F.sort_array(_stretches(p, found, min_bytes)), lambda cuts: rest(p, cuts)))
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_bytes: int = 120, length: str | None = None) -> DataFrame:
@@ -202,9 +234,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     d = docs.alias("d")
     body, doc = F.col(f"d.`{text}`").cast("string"), F.col(f"d.`{key}`")
     # The hash of a row is taken below the generator; beside it, it would be taken of the whole text for each chunk.
-    rows = d.filter(F.length(body) > 0).select(doc.alias("doc"), F.xxhash64(body).alias("row"), body.alias("body"))
-    chunks = rows.select("doc", "row", F.explode(chunk_marks(F.col("body"))).alias("m"))
-    marks = scratch.table(chunks.select("doc", "row", "m.*").filter((F.col("n") > 1) | (F.col("l") >= LONE_BYTES)), "marks", hashes=("h",))
+    rows = d.filter(F.octet_length(body) > 0).select(doc.alias("doc"), F.xxhash64(body).alias("row"), body.alias("body"))
+    marks = scratch.table(marks_of(rows).filter((F.col("n") > 1) | (F.col("l") >= LONE_BYTES)), "marks", hashes=("h",))
 
     # By hash: which chunks are held by several documents, and by which first.
     free = F.when(F.col("doc").isNull(), F.col("row"))
@@ -220,7 +251,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     copies = F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot")
     dealt = marks.join(hot, "h", "left").withColumn("lot", F.pmod(F.xxhash64("doc", "row"), lots.cast("long")).cast("int")).drop("lots")
     wanted = repeated.withColumn("lots", F.ceil(F.col("rows") / size).cast("int")).select("h", "low", "nlow", "lots", copies)
-    held = scratch.table(dealt.join(wanted, ["h", "lot"]), "held")
+    held = scratch.table(dealt.join(wanted.hint("shuffle_hash"), ["h", "lot"]), "held")
+    for name in ("marks", "repeated"):
+        scratch.drop(name)
     keeper = held.filter(first).groupBy("h").agg(F.min(F.struct("row", "p")).alias("k"), F.first("lots").alias("lots"))
     keeper = keeper.select("h", F.col("k.row").alias("krow"), F.col("k.p").alias("q"), copies)
     both = held.filter(later).join(keeper, ["h", "lot"]).select("doc", "row", "low", "krow", "p", "q", "n", "l")
@@ -231,6 +264,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # Three quarters of a passage may lie in chunks that reach beyond it.
     places = places.filter(F.col("l") >= min_bytes // 4).drop("l")
     places = scratch.table(places, "places")
+    scratch.drop("held")
 
     # By bytes: the keepers' texts at those places, once for each place, to the documents they are compared with.
     place = ["low", "krow", "from", "to"]
@@ -242,13 +276,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     cut = _let(_phrases(body), lambda p: F.transform("w.at", lambda x: x.withField("k", F.slice(p, x["from"] + 1, x["to"] - x["from"]))))
     shown = d.join(spots.hint("shuffle_hash"), same).select("w.low", "w.krow", F.explode(cut).alias("x")).select("low", "krow", "x.*")
     shown = shown.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
-    shown = scratch.table(shown, "shown")
+    shown = scratch.table(shown, "shown", hashes=("k.list.element",))
     dealt = _null_safe(places.alias("p"), F.broadcast(asked.filter("lots > 1")).alias("q"), place, "left")
     dealt = dealt.select("p.*", F.coalesce(F.pmod(F.xxhash64("p.doc", "p.row"), F.col("q.lots").cast("long")), F.lit(0)).cast("int").alias("lot"))
     found = _null_safe(dealt.alias("p"), shown.alias("q"), [*place, "lot"], "inner")
     found = found.groupBy("p.doc", "p.row").agg(F.collect_set(F.struct(F.col("q.k").alias("k"), (F.col("p.from") + F.col("p.shift")).alias("at"))).alias("found"))
     found = scratch.table(found, "found").alias("g")
-    for name in ("marks", "repeated", "held", "places", "asked", "shown"):
+    for name in ("places", "asked", "shown"):
         scratch.drop(name)
 
     same = doc.eqNullSafe(F.col("g.doc")) & (F.xxhash64(body) == F.col("g.row"))

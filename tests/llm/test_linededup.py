@@ -174,3 +174,31 @@ def test_against_brute_force(spark, make_docs):
         left += bool(windows(got.get(i, ""), 50) & before)
         before |= windows(docs[i], 50)
     assert left == 0
+
+
+def test_chunks_are_taken_by_compiled_code(spark, make_docs, corpus):
+    """The generator is compiled, and what stands behind it gives the chunks of ``chunk_marks``."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quirelake.llm.linededup import marks_of
+
+    rows = make_docs(corpus).filter("length(text) > 0").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), F.col("text").alias("body"))
+    assert re.search(r"\*\(\d+\) Generate explode", marks_of(rows)._jdf.queryExecution().executedPlan().toString())
+    want = rows.select("doc", "row", F.explode(chunk_marks(F.col("body"))).alias("m")).select("doc", "row", "m.*")
+    assert sorted(marks_of(rows).collect()) == sorted(want.collect())
+
+
+def test_lines_of_odd_texts(spark, make_docs):
+    """Lines begin where the pattern of a beginning matches, and joined they give the text."""
+    from pyspark.sql import functions as F
+
+    from quirelake.llm.linededup import BREAK, _lines
+
+    r = random.Random(23)
+    odd = " \t\n\r.!?\u3002ab cdEF12\x00\x0b\x1f\x85\xa0\u00e9\u4e2d\ud7ff\ue000\U0001f600\U00010000"
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(1, 300))) for _ in range(300)] + [c * 40 for c in odd] + ["x" * 200_000, "a b" * 100_000, "\n" * 50_000]
+    text, lines = F.col("text"), _lines(F.col("text"))
+    same = make_docs(dict(enumerate(texts))).select((lines == F.split(text, f"(?s)(?={BREAK})", -1)).alias("s"), (F.array_join(lines, "") == text).alias("w"))
+    assert [tuple(x) for x in same.distinct().collect()] == [(True, True)]
