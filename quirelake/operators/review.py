@@ -30,6 +30,7 @@ MOST_CANDIDATES, PASSAGE = 20, 700
 CONTROL_TERMS = r"\b(?:ignore|disregard|forget|override|bypass|reveal|show|print|call|invoke|execute|run|use|send|upload|transmit|respond|return|follow|obey|desconsidere|esqueca|ignore|revele|mostre|imprima|chame|invoque|execute|rode|use|envie|transmita|responda|retorne|siga|obedeca)\b"
 TARGET_TERMS = r"\b(?:prompt|system|developer|assistant|chatgpt|model|instructions?|tools?|functions?|api\s+keys?|secrets?|sistema|desenvolvedor|assistente|modelo|instrucoes?|ferramentas?|funcoes?|chaves?\s+(?:da|de)\s+api|segredos?)\b"
 MARKERS = security.RULES[-1][4]
+TERMS = (CONTROL_TERMS, TARGET_TERMS, MARKERS)
 
 #: From candidates (doc, page, n, passage) to rows (doc, page, n, category, severity, confidence, quote, error).
 Reviewer = Callable[[DataFrame], DataFrame]
@@ -65,11 +66,14 @@ def window_around(text: Column, a: Column, b: Column, width: int = PASSAGE) -> C
     return F.when(F.length(text) <= width, text).otherwise(F.substring(text, first + 1, F.lit(width)))
 
 
-def focused(text: Column, width: int = PASSAGE) -> Column:
-    """The window of a passage around its terms of control and of AI systems; null for a passage without both and without a marker."""
+def focused(text: Column, width: int = PASSAGE, terms: tuple[str, str, str] = TERMS) -> Column:
+    """The window of a passage around its terms of control and of AI systems; null for a passage without both and without a marker.
+
+    ``terms`` are the patterns of the three, for the canonical form.
+    """
 
     def of(form: Column) -> Column:
-        found = F.struct(*[first_match(form, p).alias(n) for n, p in (("c", CONTROL_TERMS), ("t", TARGET_TERMS), ("m", MARKERS))])
+        found = F.struct(*[first_match(form, p).alias(n) for n, p in zip("ctm", terms, strict=True)])
         return bound(found, window)
 
     def window(f: Column) -> Column:
