@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.spread import spread
-
+from .bind import bound
 from .text import hash_bucket
 
 
@@ -34,6 +40,28 @@ def hashed_bow(table: DataFrame, key: str, text: str, size: int = 128) -> DataFr
 
 
 def hashed_vectors(table: DataFrame, key: str, text: str, size: int = 128) -> DataFrame:
-    """The same vectors as dense arrays (``vector``)."""
-    entries = hashed_bow(table, key, text, size).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    return entries.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+    """The same vectors as dense arrays (``vector``).
+
+    A row's words are counted where it is read and each distinct word of a batch is hashed
+    once, hence the Arrow function; what is shuffled is one array of counts a row.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    rows = spread(table.select(key, text)).select(key, words.alias("words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            bucket = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % size for w in coded.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            counts = np.bincount(row * size + bucket[coded.indices.to_numpy(zero_copy_only=False)], minlength=batch.num_rows * size).reshape(-1, size)
+            some = np.nonzero(counts.any(axis=1))[0]
+            flat = pa.array(counts[some].ravel(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * size, pa.int32()), flat)], names=[key, "n"])
+
+    counted = rows.mapInArrow(count, f"`{key}` {rows.schema[key].dataType.simpleString()}, n array<int>")
+    together = counted.groupBy(key).agg(F.collect_list("n").alias("all"))
+    summed = F.aggregate("all", F.array_repeat(F.lit(0), size), lambda s, n: F.zip_with(s, n, lambda x, y: x + y))
+    n = F.when(F.size("all") == 1, F.col("all")[0]).otherwise(summed)
+    norm_of = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return together.select(key, bound(n, lambda v: bound(norm_of(v), lambda length: F.transform(v, lambda x: x / length))).alias("vector"))

@@ -168,7 +168,7 @@ def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFr
     wide = retrieval.widened(k, hybrid=True, reranked=False)
     lexical = retrieval.bm25(docs, asked, wide)
     near = retrieval.dense(vectors.hashed_vectors(docs, "doc_id", "text"), vectors.hashed_vectors(asked, "query_id", "text"), wide, item="doc_id", query="query_id")
-    return lexical, near
+    return lexical, near.filter("score > 0")  # texts without a common bucket are no hits
 
 
 def _bow_sql(source: str, key: str) -> str:
