@@ -57,13 +57,21 @@ SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 
 def unaccent(text: Column) -> Column:
     """Compatibility decomposition without combining marks, of whatever script but Hangul."""
-    one = F.translate(text, ACCENTED, PLAIN)
-    # Ligatures, fractions and the like stand for several characters.  Few texts have any, so these alone are taken apart.
-    some = one.rlike(SEVERAL_NEAR) & (F.length(F.translate(one, "".join(SEVERAL), "")) < F.length(one))
-    table = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{d}" for c, d in SEVERAL.items())), F.lit("\u0001"), F.lit("\u0002"))
-    parts = F.split(one, f"(?<={SEVERAL_CLASS})|(?={SEVERAL_CLASS})", -1)
-    full = F.array_join(F.transform(parts, lambda p: F.coalesce(F.when(F.length(p) == 1, F.try_element_at(table, p)), p)), "")
-    return F.regexp_replace(F.when(some, full).otherwise(one), r"\p{Mn}", "")
+    return _taken_apart(F.translate(text, ACCENTED, PLAIN))
+
+
+def _taken_apart(text: Column) -> Column:
+    """What single characters do not give: parts of ligatures, and no marks."""
+
+    def parted(one: Column) -> Column:
+        # Ligatures, fractions and the like stand for several characters.  Few texts have any, so these alone are taken apart.
+        some = one.rlike(SEVERAL_NEAR) & (F.length(F.translate(one, "".join(SEVERAL), "")) < F.length(one))
+        table = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{d}" for c, d in SEVERAL.items())), F.lit("\u0001"), F.lit("\u0002"))
+        parts = F.split(one, f"(?<={SEVERAL_CLASS})|(?={SEVERAL_CLASS})", -1)
+        full = F.array_join(F.transform(parts, lambda p: F.coalesce(F.when(F.length(p) == 1, F.try_element_at(table, p)), p)), "")
+        return F.regexp_replace(F.when(some, full).otherwise(one), r"\p{Mn}", "")
+
+    return bound(text, parted)
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -89,7 +97,8 @@ def quote_in(quote: Column, source: Column) -> Column:
 
 def canonical_form(text: Column) -> Column:
     """Without invisible characters, look-alikes and accents, in lower case."""
-    return F.lower(unaccent(F.translate(F.translate(text, INVISIBLE, ""), LOOK_ALIKE, LOOKS_LIKE)))
+    # One pass: of a character that comes twice the first counts, and those without a counterpart go.
+    return F.lower(_taken_apart(F.translate(text, LOOK_ALIKE + ACCENTED + INVISIBLE, LOOKS_LIKE + PLAIN)))
 
 
 def truncated(text: Column, most: int) -> Column:
